@@ -19,11 +19,8 @@ STAGE_NAMES = {"Localized": "localized", "Distant": "distant"}
 def staged(spark, sf_dir):
     """Dated records with their stage; system a also fills gaps of system b."""
     dated = reg.dated_records(views.registry(spark, sf_dir), "dx_date")
-    return dated.withColumns(
-        {
-            "kind": null_if("kind", "NA"),
-            "stage": reg.stage_text("stage_a", ["stage_b", "stage_a"]),
-        }
+    return reg.with_stage(
+        dated.withColumn("kind", null_if("kind", "NA")), "stage_a", ["stage_b", "stage_a"]
     )
 
 
@@ -124,7 +121,7 @@ def rule_cascade(spark, sf_dir):
     rules = [
         (kind.isin("LARGE", "ECONOMY") & has1 & has2, 1),
         ((kind == "SMALL") & has2, 1),
-        ((kind == "PROMO") | (stage == "unknown"), reg.UNKNOWN_CODE),
+        ((kind == "PROMO") | (stage == "unknown"), None),
         (stage == "distant", 0),
         (stage == "benign", 1),
         ((kind == "STANDARD") & (stage == "localized") & has1, 1),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.nulls import _col, fill_sentinel, in_set, null_if
+from panelspark.functions.nulls import _col, fill_sentinel, in_set
 from panelspark.functions.parse import parse_number, parse_year, parse_ymd
 from panelspark.functions.recode import first_match, recode
 from panelspark.operators.keys import attach_table
@@ -31,26 +32,30 @@ def dated_records(records: DataFrame, date: str, missing: str = "NA") -> DataFra
     return records.filter(F.col(date) != missing).withColumn(date, parse_ymd(date))
 
 
-def stage_text(*systems: Column | str | Sequence[Column | str]) -> Column:
-    """Stage name from the codes of several coding systems.
+def with_stage(
+    records: DataFrame, *systems: Column | str | Sequence[Column | str], name: str = "stage"
+) -> DataFrame:
+    """Add the stage name told by the codes of several coding systems.
 
     Each system is a text code, or several of which the first known one counts.
     The systems are tried stage by stage in the order of ``STAGE_CODES``: one
     system saying so is enough. No known code, or only unlisted ones, gives NULL.
     """
-    codes = []
-    for system in systems:
+    numbers = {}
+    for k, system in enumerate(systems):
         options = [system] if isinstance(system, (str, Column)) else system
-        numbers = [parse_number(o) for o in options]
-        codes.append(fill_sentinel(numbers[0], *numbers[1:], sentinel=float(UNKNOWN_CODE)))
-    rules = []
-    for stage, value in STAGE_CODES.items():
-        tests = [(c <= value) if stage == "regional" else (c == value) for c in codes]
-        cond = tests[0]
-        for test in tests[1:]:
-            cond = cond | test
-        rules.append((cond, stage))
-    return first_match(rules)
+        parsed = [parse_number(o) for o in options]
+        numbers[f"_code{k}"] = fill_sentinel(*parsed, sentinel=float(UNKNOWN_CODE))
+
+    def any_code(test) -> Column:
+        return reduce(lambda a, b: a | b, [test(F.col(c)) for c in numbers])
+
+    rules = [
+        (any_code(lambda c: c <= value if stage == "regional" else c == value), stage)
+        for stage, value in STAGE_CODES.items()
+    ]
+    # Codes become columns first, so that each is parsed once per record.
+    return records.withColumns(numbers).withColumn(name, first_match(rules)).drop(*numbers)
 
 
 def first_year(dates: Sequence[Column | str]) -> Column:
@@ -59,9 +64,11 @@ def first_year(dates: Sequence[Column | str]) -> Column:
     return F.least(*years) if len(years) > 1 else years[0]
 
 
-def rule_outcome(rules: Sequence[tuple[Column, int]], default: int = 0, unknown: int = UNKNOWN_CODE) -> Column:
-    """First matching rule's outcome, where the outcome ``unknown`` stands for NULL."""
-    return null_if(first_match(rules, default=default), unknown)
+def rule_outcome(rules: Sequence[tuple[Column, int | None]], default: int = 0) -> Column:
+    """Outcome of the first rule that is true; ``None`` stands for an unknown outcome."""
+    return first_match(
+        [(cond, F.lit(value).cast("int")) for cond, value in rules], default=F.lit(default)
+    )
 
 
 def select_prognosis(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans are written for. None changes a result.
 SETTINGS = {
@@ -43,3 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` read back from a checkpoint, its plan cut there.
+
+    Rows are kept while the checkpoint is written; without that Spark would
+    compute the last stage twice, once for the count and once for the files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist()
+    done = df.checkpoint()
+    df.unpersist()
+    return done
