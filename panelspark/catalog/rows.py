@@ -13,7 +13,6 @@ from panelspark.functions import (
     parse_ymd,
     right_closed_bins,
     strict_if,
-    year_range,
 )
 from panelspark.operators.keys import bind_rows, join_on, over_columns
 from panelspark.sources import views
@@ -48,7 +47,7 @@ def period_bins(spark, sf_dir):
     "visits",
 )
 def year_window(spark, sf_dir):
-    return views.visits(spark, sf_dir).filter(year_range("visdate", 1996, 1999))
+    return views.visits(spark, sf_dir, years=(1996, 1999))
 
 
 @query(

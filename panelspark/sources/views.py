@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions import year_range
 from panelspark.operators.keys import collapse
 
 
@@ -29,11 +30,18 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order; a person may have several on one day."""
+def raw_visits(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """One row per order; a person may have several on one day.
+
+    ``years`` limits the calendar years on the stored column, so that the scan
+    skips what lies outside.
+    """
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     priority = F.col("o_orderpriority")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders")
+    if years:
+        orders = orders.filter(year_range("o_orderdate", *years))
+    return orders.select(
         F.col("o_custkey").alias("id"),
         key.alias("visit"),
         F.col("o_orderdate").cast("date").alias("visdate"),
@@ -46,13 +54,13 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def visits(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """One row per (person, date): the first order of the day.
 
     Same-day repeats are combined before the shuffle, so no person can bring
     more rows into a task than there are days.
     """
-    return collapse(raw_visits(spark, sf_dir), ["id", "visdate"], "visit")
+    return collapse(raw_visits(spark, sf_dir, years), ["id", "visdate"], "visit")
 
 
 def death_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
