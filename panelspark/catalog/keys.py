@@ -37,7 +37,8 @@ WHERE rn = 1""",
     "visits",
 )
 def last_visit(spark, sf_dir):
-    return last_per_key(views.visits(spark, sf_dir), "id", ["visdate", "visit"])
+    # The first order of the last day, again straight from the raw rows.
+    return last_per_key(views.raw_visits(spark, sf_dir), "id", "visdate", then="visit")
 
 
 @query(

@@ -30,9 +30,13 @@ def first_per_key(df: DataFrame, key, order) -> DataFrame:
     return _ranked(df, key, [_col(o).asc_nulls_last() for o in as_list(order)])
 
 
-def last_per_key(df: DataFrame, key, order) -> DataFrame:
-    """Last whole row per key: the reverse of the order used by ``first_per_key``."""
-    return _ranked(df, key, [_col(o).desc_nulls_first() for o in as_list(order)])
+def last_per_key(df: DataFrame, key, order, then=()) -> DataFrame:
+    """Last whole row per key: the reverse of the order used by ``first_per_key``.
+
+    Among rows tied on ``order`` the first by ``then`` is taken.
+    """
+    last = [_col(o).desc_nulls_first() for o in as_list(order)]
+    return _ranked(df, key, [*last, *[_col(o).asc_nulls_last() for o in as_list(then)]])
 
 
 def collapse(df: DataFrame, key, order: str) -> DataFrame:

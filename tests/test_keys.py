@@ -17,6 +17,11 @@ def test_first_and_last_rows_keep_their_own_nulls(visits):
     assert rows(keys.last_per_key(visits, "id", "day")) == [(1, None, "n"), (2, 5, "e")]
 
 
+def test_ties_on_the_last_order_value(spark):
+    df = spark.createDataFrame([(1, 5, 8, "a"), (1, 5, 7, "b"), (1, 4, 1, "c")], "id int, day int, o int, v string")
+    assert rows(keys.last_per_key(df, "id", "day", then="o")) == [(1, 5, 7, "b")]
+
+
 def test_collapse_equals_first_per_key(spark):
     df = spark.range(400).select(
         (F.col("id") % 7).alias("k"), (F.col("id") % 5).alias("d"), F.col("id").alias("o"),

@@ -11,7 +11,7 @@ from panelspark.operators import panel
 from panelspark.operators.keys import collapse, first_per_key
 
 SF_DIR = "/root/testdata/sf0.001"
-SLOW = {"forest_impute", "impute_error"}
+SLOW = {"forest_impute", "forest_audit", "impute_error"}
 
 
 def plan_of(df) -> str:
