@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from panelspark.catalog.book import query, step
 from panelspark.functions import days_between, keep_levels, years_between
 from panelspark.operators import reshape
-from panelspark.operators.keys import first_per_key, join_on, last_per_key, over_columns, star_join, with_prefix
+from panelspark.operators.keys import first_per_key, join_on, last_per_key, over_columns, star_join
 from panelspark.operators.panel import person_order, visit_number
 from panelspark.sources import views
+from panelspark.sources.tables import settle
 
 step(
     "first_rows",
@@ -170,8 +171,9 @@ LEFT JOIN (SELECT id, n_vis, visdate, used FROM numbered WHERE used IS NOT NULL)
     "numbered",
 )
 def visit_star(spark, sf_dir):
+    # Seven tables leave one parent, so it is written once, placed by person.
     on = ["id", "n_vis", "visdate"]
-    rows = visit_number(views.visits(spark, sf_dir))
+    rows = settle(visit_number(views.visits(spark, sf_dir)), "numbered")
     sides = [
         rows.filter(F.col("tx") == 1 if name == "tx" else F.col(name).isNotNull()).select(*on, name)
         for name in STAR
@@ -224,8 +226,10 @@ def unpivot_many(spark, sf_dir):
 
 @query("observed_cells", "SELECT id, visdate, n_vis, lab1, dx FROM numbered", "numbered")
 def observed_cells(spark, sf_dir):
-    rows = visit_number(views.visits(spark, sf_dir)).select("id", "visdate", "n_vis")
-    return reshape.observed_cells(rows, reshape.unpivot_many(_wide(spark, sf_dir)))
+    # Cells come from the packed form, which holds no cell of an unobserved visit.
+    numbered = visit_number(views.visits(spark, sf_dir))
+    cells = reshape.unpack_visits(reshape.pack_visits(numbered, ["lab1", "dx"]))
+    return reshape.observed_cells(numbered.select("id", "visdate", "n_vis"), cells)
 
 
 @query(
@@ -237,8 +241,12 @@ RIGHT JOIN (SELECT * FROM {WIDE_LABS} JOIN {WIDE_DX} USING (id) JOIN {WIDE_YR} U
     "numbered",
 )
 def visit_matrix(spark, sf_dir):
+    # Levels are checked on the long rows, once per cell that exists.
     persons = views.subjects(spark, sf_dir).select("id", "segment", "grp01")
     rows = visit_number(views.visits(spark, sf_dir)).withColumn("yr", F.year("visdate"))
-    wide = join_on(persons, reshape.pivot_visits(rows, ["lab1", "dx", "yr"]), "id", "right")
-    wide = over_columns(wide, with_prefix(wide, "dx_"), lambda c: keep_levels(c, [0, 1]))
-    return over_columns(wide, with_prefix(wide, "yr_"), lambda c: keep_levels(c, range(1996, 2001)))
+    rows = over_columns(rows, ["dx"], lambda c: keep_levels(c, [0, 1]))
+    rows = over_columns(rows, ["yr"], lambda c: keep_levels(c, range(1996, 2001)))
+    # The person's columns join the packed visits, before there are many columns.
+    measures = ["lab1", "dx", "yr"]
+    matrix = join_on(persons, reshape.pack_visits(rows, measures), "id", "right")
+    return reshape.widen(matrix, measures, reshape.visit_numbers(rows), persons.columns)

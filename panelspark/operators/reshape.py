@@ -21,6 +21,42 @@ def split_name(name: str) -> tuple[str, str]:
     return match.group(1), match.group(2)
 
 
+def pack_visits(df: DataFrame, values: Sequence[str], key="id", number: str = "n_vis") -> DataFrame:
+    """One row per person with all its visits in ``cells``, ordered by number.
+
+    The long-panel form of ``pivot_visits``: a person takes as much room as it
+    has visits, at most one per day, whatever the longest person has.
+    """
+    cell = F.struct(number, *values)
+    return df.groupBy(*as_list(key)).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def unpack_visits(packed: DataFrame, key="id") -> DataFrame:
+    """One row per packed visit again."""
+    return packed.select(*as_list(key), F.inline("cells"))
+
+
+def visit_numbers(df: DataFrame, number: str = "n_vis") -> list[int]:
+    """1 to the largest visit number, found by one small job."""
+    top = df.agg(F.max(number)).first()[0]
+    return list(range(1, (top or 0) + 1))
+
+
+def widen(
+    packed: DataFrame, values: Sequence[str], numbers: Sequence[int], keep="id", number: str = "n_vis"
+) -> DataFrame:
+    """Columns ``{value}_{number}`` from packed visits, after the ``keep`` columns.
+
+    Cells are looked up by number, so the work follows the cells that exist,
+    where a pivot aggregate would carry every empty one through its buffers.
+    """
+    keep = as_list(keep)
+    by_number = F.transform("cells", lambda c: F.struct(c[number], c))
+    found = packed.select(*keep, F.map_from_entries(by_number).alias("_cells"))
+    cells = [f"try_element_at(_cells, {n}).`{v}` AS `{v}_{n}`" for v in values for n in numbers]
+    return found.selectExpr(*[f"`{k}`" for k in keep], *cells)
+
+
 def pivot_visits(
     df: DataFrame,
     values: Sequence[str],
@@ -30,23 +66,12 @@ def pivot_visits(
 ) -> DataFrame:
     """One row per person with a column ``{value}_{number}`` per value and visit.
 
-    Without ``numbers`` one small job finds the largest visit number, and every
-    visit gets its columns.
+    Without ``numbers`` every visit gets its columns. The matrix is as wide as
+    its longest person; where that is long, ``pack_visits`` holds the same cells
+    without the empty ones.
     """
-    if numbers is None:
-        top = df.agg(F.max(number)).first()[0]
-        numbers = range(1, (top or 0) + 1)
-    numbers = list(numbers)
-    if not numbers:
-        return df.select(*as_list(key)).distinct()
-    # A sole aggregate is named by the pivot value alone, hence the alias here.
-    wide = (
-        df.groupBy(*as_list(key))
-        .pivot(number, numbers)
-        .agg(F.first(F.struct(*values)).alias("cell"))
-    )
-    cells = [F.col(f"`{n}`")[v].alias(f"{v}_{n}") for v in values for n in numbers]
-    return wide.select(*as_list(key), *cells)
+    numbers = visit_numbers(df, number) if numbers is None else list(numbers)
+    return widen(pack_visits(df, values, key, number), values, numbers, key, number)
 
 
 def unpivot_measure(
@@ -66,23 +91,21 @@ def unpivot_many(wide: DataFrame, keep="id", number: str = "n_vis") -> DataFrame
     without a column for some number is NULL there.
     """
     keep = as_list(keep)
+    types: dict[str, str] = {}
     cells: dict[str, dict[str, str]] = {}
-    for column in wide.columns:
+    for column, kind in wide.dtypes:
         if column not in keep:
             measure, n = split_name(column)
+            types[measure] = kind
             cells.setdefault(n, {})[measure] = column
-    types = {split_name(f.name)[0]: f.dataType for f in wide.schema if f.name not in keep}
-    rows = [
-        F.struct(
-            F.lit(int(n)).alias(number),
-            *[
-                (F.col(f"`{row[m]}`") if m in row else F.lit(None).cast(t)).alias(m)
-                for m, t in types.items()
-            ],
-        )
-        for n, row in cells.items()
-    ]
-    return wide.select(*keep, F.inline(F.array(*rows)))
+    rows = []
+    for n, row in cells.items():
+        fields = [f"{int(n)} AS `{number}`"]
+        for m, kind in types.items():
+            value = f"`{row[m]}`" if m in row else f"CAST(NULL AS {kind})"
+            fields.append(f"{value} AS `{m}`")
+        rows.append(f"struct({', '.join(fields)})")
+    return wide.selectExpr(*[f"`{k}`" for k in keep], f"inline(array({', '.join(rows)}))")
 
 
 def observed_cells(visits: DataFrame, cells: DataFrame, on=("id", "n_vis")) -> DataFrame:

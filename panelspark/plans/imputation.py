@@ -13,7 +13,13 @@ from panelspark.operators.fills import person_features
 from panelspark.operators.forest import forest_impute
 from panelspark.operators.keys import bind_rows, first_per_key, join_on, over_columns
 from panelspark.operators.panel import visit_number
-from panelspark.operators.reshape import observed_cells, pivot_visits, unpivot_measure
+from panelspark.operators.reshape import (
+    observed_cells,
+    pack_visits,
+    unpivot_measure,
+    visit_numbers,
+    widen,
+)
 
 # Calendar span, covariates of every model.
 FIRST_YEAR, LAST_YEAR = 2007, 2019
@@ -136,7 +142,8 @@ def impute_wide(
     with few visits per person.
     """
     measures = [*numbers, *flags, YEAR]
-    matrix = with_person(pivot_visits(rows, measures), persons)
+    packed = with_person(pack_visits(rows, measures), persons)
+    matrix = widen(packed, measures, visit_numbers(rows), ["id", *PERSON])
     cells = {m: [c for c in matrix.columns if c.startswith(f"{m}_") and c[len(m) + 1:].isdigit()] for m in measures}
     kept = list(targets) if targets else [*numbers, *flags]
     filled = forest_impute(
