@@ -56,9 +56,12 @@ NON_INJECTED = """
 
 
 def enriched_visits(visit_raw: DataFrame, enroll_raw: DataFrame) -> DataFrame:
-    """Visits, one per person and day, with study time and derived indicators."""
+    """Visits, one per person and day, with study time and derived indicators.
+
+    A person enrolled twice is an error: it would double the visits.
+    """
     visits = first_per_key(visit_raw, ["id", "visdate"], "visit")
-    out = join_on(visits, enroll_raw.select("id", "basdate"), "id")
+    out = join_on(visits, enroll_raw.select("id", "basdate"), "id", expect="one")
     treated = F.lit(False)
     for c in DRUG_TREATMENT:
         treated = treated | (F.col(c) == 1)

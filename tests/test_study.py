@@ -32,6 +32,11 @@ def test_domain_tables(raw):
     assert tables["socdem"].count() == raw["visit_raw"].count()
 
 
+def test_double_enrolment_is_an_error(raw):
+    with pytest.raises(ValueError):
+        enriched_visits(raw["visit_raw"], raw["enroll_raw"].unionByName(raw["enroll_raw"]))
+
+
 def test_measure_chosen_by_group(raw):
     visits = enriched_visits(raw["visit_raw"], raw["enroll_raw"])
     bad = visits.filter(
