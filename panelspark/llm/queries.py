@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import mixing, quality_rules, substring_dedup
+from panelspark.llm import mixing, ngram_join, quality_rules, substring_dedup
 from panelspark.llm.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_quality_rules"] = quality_rules.oracle()
+
+
+@_query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles overlap by 85 percent or more."""
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
