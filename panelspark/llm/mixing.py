@@ -114,7 +114,7 @@ def _shard(id_col: str) -> Column:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    carry: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (), made: str = "",
 ) -> DataFrame:
     """How much of every document the mix takes.
 
@@ -124,13 +124,17 @@ def mix(
     (null last, one source of its own) weigh 5, 2, 1 and so on; a target stops at
     three times its source's size and the excess goes to the others by weight.
 
+    ``made`` is put before the names of made columns, should carried ones clash.
+
     Null and empty texts have size 0 and are never taken. Ids may repeat or be null.
     Reruns give the same mix: order and choice depend on ids, texts and ``SEED``.
     """
     spark = docs.sparkSession
     names = [id_col, *[c for c in carry if c != id_col]]
+    # Carried columns travel in one struct, out of the way of the made ones.
     rows = docs.select(
-        *[F.col(c) for c in names],
+        F.struct(*[F.col(c) for c in names]).alias("__row"),
+        F.col(id_col).alias("__id"),
         F.col(source_col).alias("__source"),
         n_words(F.col(text_col)).alias("size"),
         _shard(id_col).alias("__shard"),
@@ -159,10 +163,10 @@ def mix(
         }
     )
     quotas = scratch.write(quotas, "quotas")
-    key = F.md5(F.concat(F.lit(SEED + "/"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(SEED + "/"), F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary"))
     stream = (
         Window.partitionBy("source", "shard")
-        .orderBy(F.substring(key, 9, 16), F.col(id_col), F.col("size"), F.col("__text"))
+        .orderBy(F.substring(key, 9, 16), F.col("__id"), F.col("size"), F.col("__text"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = (
@@ -191,8 +195,14 @@ def mix(
     )
     extra = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
     return placed.select(
-        *[F.col(c) for c in names], "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + extra).alias("taken"), "passes", "blocks",
+        *[F.col("__row")[c].alias(c) for c in names],
+        *[
+            c.alias(made + n)
+            for n, c in {
+                "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"),
+                "taken": F.col("passes") * F.col("size") + extra, "passes": F.col("passes"), "blocks": F.col("blocks"),
+            }.items()
+        ],
     )
 
 
@@ -255,26 +265,27 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A row of blocks keeps its words in order, one space apart. Copies keep their id.
     """
-    out = mix(docs, carry=("text", "lang", "source", "n_chars"))
+    names = docs.columns
+    out = mix(docs, carry=tuple(c for c in names if c != "doc_id"), made="__")
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     part = F.array_join(
         F.flatten(
             F.transform(
-                F.col("blocks"),
+                F.col("__blocks"),
                 lambda b: F.slice(F.col("__words"), (b["from"] + 1).cast("int"), (b["to"] - b["from"]).cast("int")),
             )
         ),
         " ",
     )
-    some = F.size("blocks") > 0
+    some = F.size("__blocks") > 0
     copies = out.withColumn("__words", F.when(some, words)).withColumn(
         "__texts",
         F.concat(
-            F.array_repeat(F.when(F.col("size") > 0, F.col("text")), F.when(F.col("size") > 0, F.col("passes").cast("int")).otherwise(0)),
+            F.array_repeat(F.col("text"), F.when(F.col("__size") > 0, F.col("__passes").cast("int")).otherwise(0)),
             F.when(some, F.array(part)).otherwise(F.array().cast("array<string>")),
         ),
     )
-    text = F.explode("__texts").alias("text")
-    return copies.select("doc_id", text, "lang", "source").select(
-        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
-    )
+    out = copies.withColumn("text", F.explode("__texts"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*names)

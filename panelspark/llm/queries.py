@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import mixing, ngram_join, quality_rules, substring_dedup
+from panelspark.llm import mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
 from panelspark.llm.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,16 @@ ORACLES["op5_quality_rules"] = quality_rules.oracle()
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 85 percent or more."""
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins of 2048 words; equal texts never share a bin."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.same_words())
