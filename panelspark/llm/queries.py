@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from panelspark.llm import (
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality_mil,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
 from panelspark.llm.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +89,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in bins of 2048 words; equal texts never share a bin."""
     return packing.pack(table(spark, sf_dir, "documents"), packing.same_words())
+
+
+@_query
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
