@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import (
+    fingerprints,
     language_id,
     mixing,
     ngram_join,
@@ -103,3 +104,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
+
+
+@_query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
