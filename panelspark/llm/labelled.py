@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.scratch import crc_mod
+from panelspark.llm.scratch import crc_mod, ship
 
 # Labelled rows a classifier is fitted on, at most; some 25 MB of text.
 FIT_ROWS = 8000
@@ -20,6 +20,7 @@ def fitting_rows(
     ids are sent to the tasks, so the text is read once and not shuffled. Null ids,
     null labels and labels without a document are left out; a null text is empty.
     """
+    ship(docs.sparkSession)
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (crc_mod(id_col, 4) != 2))
         .groupBy(F.col(id_col).alias("__id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.scratch import crc_mod
+from panelspark.llm.scratch import crc_mod, ship
 from panelspark.llm.words import LOWER, Words, chunks, mix
 
 BUCKETS = 1 << 14  # trigrams share buckets by a hash
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     Rows with a null language are left out. What reaches the driver is ``BUCKETS``
     numbers per language.
     """
+    ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & (crc_mod(id_col, 4) != 2)).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )

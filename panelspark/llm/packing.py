@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.mixing import n_words
-from panelspark.llm.scratch import parts_for
+from panelspark.llm.scratch import parts_for, ship
 
 CAPACITY = 2048  # words
 PER_SOURCE = 2
@@ -94,6 +94,7 @@ def pack(
     one cluster). Texts without words are one piece of size 0 with a null bin. Ids may
     be null or repeat. The same rows give the same bins.
     """
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("total"), cluster.cast("long").alias("cluster"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.llm import (
     fingerprints,
     language_id,
+    lm_scoring,
     mixing,
     ngram_join,
     packing,
@@ -110,3 +111,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by word counts and by the language model."""
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import uuid
 import weakref
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,29 @@ def setting(spark: SparkSession, **values: str):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per session, from the shared checkpoint folder.
+
+    Tasks import it; nothing has to be installed on the machines they run on.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_panelspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(str(path.relative_to(root.parent))), path.read_bytes())
+    code = packed.getvalue()
+    target = f"{ensure_checkpoint_dir(spark)}/panelspark-{hashlib.sha256(code).hexdigest()[:16]}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(code))
+    stream.close()
+    context.addPyFile(target)
+    context._panelspark_shipped = True
+
+
 class Scratch:
     """Tables written below the shared checkpoint folder, cutting lineage.
 
@@ -39,6 +66,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._end = weakref.finalize(spark, _remove, spark._jvm, spark._jsc, self.root)
