@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.packed import expand, range_edges, small, squeeze
 from panelspark.llm.scratch import Scratch, parts_for, text_bytes
-from panelspark.llm.words import BASE, chunks, windows  # noqa: F401
+from panelspark.llm.words import chunks, windows
 
 # Text of one hash range, and of one group of documents in the last step.
 PART_BYTES = 12 << 20
@@ -31,27 +32,6 @@ HELD = 1 << 21
 _LAST = np.iinfo(np.int64).max
 
 
-def _squeeze(array: np.ndarray) -> bytes:
-    """Little-endian values as byte planes, compressed."""
-    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T
-    raw = np.ascontiguousarray(planes).tobytes()
-    return np.int64([len(raw), array.itemsize]).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _expand(blob: bytes, kind) -> np.ndarray:
-    size, width = np.frombuffer(blob, np.int64, 2)
-    raw = pa.decompress(blob[16:], decompressed_size=int(size), codec="zstd", asbytes=True)
-    planes = np.frombuffer(raw, np.uint8).reshape(int(width), -1).T
-    stored = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[int(width)]
-    return np.ascontiguousarray(planes).view(stored).reshape(-1).astype(kind, copy=False)
-
-
-def _small(array: np.ndarray) -> np.ndarray:
-    """Non-negative numbers in the narrowest unsigned type."""
-    top = int(array.max()) if len(array) else 0
-    return array.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 def _by_hash(hash_: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by hash, and for each entry in that order whether a smaller document has it."""
     order = np.argsort(hash_, kind="stable")
@@ -66,22 +46,30 @@ _BLOCK = pa.schema(
     [("part", pa.int64()), ("kind", pa.int32())]
     + [(n, pa.binary()) for n in ("hash", "code", "at", "ids", "keys")]
 )
-_CUTS = pa.schema([("grp", pa.int64()), ("key", pa.int64()), ("cuts", pa.binary())])
+_CUTS = pa.schema([("grp", pa.int64())] + [(n, pa.binary()) for n in ("keys", "sizes", "starts")])
+_CUTS_SQL = "grp long, keys binary, sizes binary, starts binary"
 
 
 def _cut_rows(key: np.ndarray, at: np.ndarray, groups: int) -> pa.RecordBatch:
-    """One row per document: where its removable windows begin."""
-    order = np.lexsort((at, key))
+    """One row per group of documents: where their removable windows begin.
+
+    ``keys`` and ``sizes`` name the documents and how many starts each has;
+    ``starts`` holds gaps between them, runs of one that compression folds.
+    """
+    order = np.lexsort((at, key, key % groups))
     key, at = key[order], at[order].astype(np.uint32)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    ends = np.r_[first[1:], len(key)].astype(np.int64)
-    offsets = np.r_[0, ends * 4].astype(np.int32) if len(key) else np.zeros(1, np.int32)
-    # Gaps between starts: runs of one, which the shuffle's compression folds.
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     gaps = np.diff(at, prepend=np.uint32(0))
     gaps[first] = at[first]
-    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(gaps)])
-    own = key[first]
-    return pa.RecordBatch.from_arrays([pa.array(own % groups), pa.array(own), blobs], schema=_CUTS)
+    own, sizes = key[first], np.diff(np.r_[first, len(key)]).astype(np.uint32)
+    grp = own % groups
+    turn = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+    ends, stops = np.r_[turn[1:], len(own)], np.r_[first[turn[1:]], len(key)]
+    rows = [
+        (int(grp[a]), own[a:b].tobytes(), sizes[a:b].tobytes(), gaps[first[a] : c].tobytes())
+        for a, b, c in zip(turn, ends, stops)
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _CUTS)], schema=_CUTS)
 
 
 def _ship(size: int, parts: int, id_: str, text: str):
@@ -98,18 +86,16 @@ def _ship(size: int, parts: int, id_: str, text: str):
             all_ids, all_keys = np.concatenate(ids), np.concatenate(keys)
             order, settled = _by_hash(hash_, all_ids[code])
             hash_, code, at = hash_[order], code[order], at[order]
-            width = (1 << 64) // parts + 1
-            edges = np.array([min(p * width, (1 << 64) - 1) for p in range(parts)], np.uint64)
             open_ = np.flatnonzero(~settled)
-            bounds = np.r_[np.searchsorted(hash_[open_], edges), len(open_)]
+            bounds = np.r_[np.searchsorted(hash_[open_], range_edges(parts)), len(open_)]
             rows = []
             for p in range(parts):
                 take = open_[bounds[p] : bounds[p + 1]]
                 if len(take):
                     used, local = np.unique(code[take], return_inverse=True)
                     rows.append(
-                        (p, 0, _squeeze(np.diff(hash_[take], prepend=np.uint64(0))), _squeeze(_small(local)),
-                         _squeeze(_small(at[take])), _squeeze(all_ids[used]), _squeeze(all_keys[used]))
+                        (p, 0, squeeze(np.diff(hash_[take], prepend=np.uint64(0))), squeeze(small(local)),
+                         squeeze(small(at[take])), squeeze(all_ids[used]), squeeze(all_keys[used]))
                     )
             gone = np.flatnonzero(settled)
             if len(gone):
@@ -117,8 +103,8 @@ def _ship(size: int, parts: int, id_: str, text: str):
                 used, local = np.unique(code[gone], return_inverse=True)
                 # Already decided: it only passes through, with any range.
                 rows.append(
-                    (int(all_keys[used[0]] % parts), 1, b"", _squeeze(_small(local)),
-                     _squeeze(_small(at[gone])), b"", _squeeze(all_keys[used]))
+                    (int(all_keys[used[0]] % parts), 1, b"", squeeze(small(local)),
+                     squeeze(small(at[gone])), b"", squeeze(all_keys[used]))
                 )
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOCK)], schema=_BLOCK
@@ -150,19 +136,19 @@ def _meet(groups: int):
     def run(block: pa.Table) -> pa.Table:
         hashes, docs, keys, ats, gone = [], [], [], [], []
         for kind, hash_, code, at, ids, key in zip(*(block.column(n).to_pylist() for n in ("kind", "hash", "code", "at", "ids", "keys"))):
-            code, at, key = _expand(code, np.int64), _expand(at, np.int64), _expand(key, np.int64)
+            code, at, key = expand(code, np.int64), expand(at, np.int64), expand(key, np.int64)
             if kind:
                 gone.append((key[code], at))
                 continue
-            hashes.append(np.cumsum(_expand(hash_, np.uint64), dtype=np.uint64))
-            docs.append(_expand(ids, np.int64)[code])
+            hashes.append(np.cumsum(expand(hash_, np.uint64), dtype=np.uint64))
+            docs.append(expand(ids, np.int64)[code])
             keys.append(key[code])
             ats.append(at)
         if hashes:
             order, repeated = _by_hash(np.concatenate(hashes), np.concatenate(docs))
             take = order[repeated]
             gone.append((np.concatenate(keys)[take], np.concatenate(ats)[take]))
-        if not gone:
+        if not sum(len(k) for k, _ in gone):
             return _CUTS.empty_table()
         batch = _cut_rows(np.concatenate([k for k, _ in gone]), np.concatenate([a for _, a in gone]), groups)
         return pa.Table.from_batches([batch])
@@ -193,8 +179,10 @@ def _without(words, d: int, removed: np.ndarray) -> str:
 def _remove(size: int, text: str, out: pa.Schema):
     def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
         found: dict[int, list[np.ndarray]] = {}
-        for key, blob in zip(cuts.column("key").to_pylist(), cuts.column("cuts").to_pylist()):
-            found.setdefault(key, []).append(np.cumsum(np.frombuffer(blob, np.uint32), dtype=np.int64))
+        for keys, sizes, starts in zip(*(cuts.column(n).to_pylist() for n in ("keys", "sizes", "starts"))):
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)[:-1]
+            for key, gaps in zip(np.frombuffer(keys, np.int64), np.split(np.frombuffer(starts, np.uint32), ends)):
+                found.setdefault(int(key), []).append(np.cumsum(gaps, dtype=np.int64))
         if not docs.num_rows:
             return out.empty_table()
         texts = docs.column(text).combine_chunks()
@@ -249,7 +237,7 @@ def remove_repeats(
         _ship(window, parts, id_col, text_col),
         "part long, kind int, hash binary, code binary, at binary, ids binary, keys binary",
     )
-    cuts = blocks.groupBy("part").applyInArrow(_meet(groups), "grp long, key long, cuts binary")
+    cuts = blocks.groupBy("part").applyInArrow(_meet(groups), _CUTS_SQL)
     cuts = scratch.write(cuts, "cuts")
     kept = base.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
