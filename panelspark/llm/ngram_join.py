@@ -8,8 +8,9 @@ short lists are merged first (in Spark: a join on the shingle, merged per pair);
 each document found there is then probed by binary search in the long lists, with
 an end as soon as T is out of reach.
 
-List lengths come from a sketch of fixed size over all documents. It only decides
-the order of lists, the same for every document, never a result.
+List lengths are exact: groups of documents ask for the number of documents of each
+of their shingles, packed by range of hashes, and the ranges answer. The rarest
+shingles of most documents are theirs alone, so that few lists are left to search.
 
 A group of copies would bring all its pairs into its lists. Classes of equal sets
 are therefore joined by one member, and each list is searched from a few leaders at
@@ -27,14 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import components
-from panelspark.llm.scratch import Scratch
+from panelspark.llm.packed import expand, range_edges, small, squeeze
+from panelspark.llm.scratch import Scratch, parts_for, text_bytes
 from panelspark.llm.words import LOWER, Words, chunks, mix, windows
 
-# Counters of the frequency sketch, and how many travel in one row.
-COUNTERS = 1 << 20
-STRIPE = 1 << 16
-# Leaders that search a list in one round.
-LEADERS = 16
+# Text of a group of documents, and of a range of hashes.
+GROUP_BYTES, PART_BYTES = 8 << 20, 8 << 20
+# Leaders that search a list in one round: few in the first rounds, which join what
+# is linked, more in the later ones, which have only the rest of the lists to search.
+MAIN_ROUNDS, MAIN_LEADERS, LEADERS = 2, 2, 256
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,47 +61,48 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return text[new], found[new]
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
+# --- lengths of the inverted lists ---------------------------------------------------
 
+_ASK = pa.schema([("part", pa.int64()), ("grp", pa.int64()), ("hash", pa.binary()), ("docs", pa.binary())])
+_TELL = pa.schema([("grp", pa.int64()), ("part", pa.int64()), ("docs", pa.binary())])
 
-def _sketch(size: int, text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for words in chunks(batch.column(0)):
-                counts += np.bincount(_counter(shingle_sets(words, size)[1]), minlength=COUNTERS)
-        yield _stripes(range(COUNTERS // STRIPE), counts.reshape(-1, STRIPE))
 
-    return run
+def _ask(size: int, parts: int):
+    """Per group of documents and range of hashes: its shingles, and how many documents have each."""
 
+    def run(docs: pa.Table) -> pa.Table:
+        found = [shingle_sets(words, size)[1] for words in chunks(docs.column("text"))]
+        each, count = np.unique(np.concatenate(found), return_counts=True)
+        if not len(each):
+            return _ASK.empty_table()
+        bounds = np.r_[np.searchsorted(each, range_edges(parts)), len(each)]
+        grp = docs.column("grp")[0].as_py()
+        rows = [
+            (p, grp, squeeze(np.diff(each[a:b], prepend=np.uint64(0))), squeeze(small(count[a:b])))
+            for p, (a, b) in enumerate(zip(bounds, bounds[1:]))
+            if b > a
+        ]
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), _ASK)], schema=_ASK)
 
-def _stripes(numbers, rows) -> pa.RecordBatch:
-    blobs = [pa.compress(r.astype(np.int64).tobytes(), codec="zstd", asbytes=True) for r in rows]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(numbers), pa.int32()), pa.array(blobs, pa.binary())], names=["stripe", "counts"]
-    )
+    return run
 
 
-def _sum_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for stripe, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = pa.decompress(blob.as_buffer(), decompressed_size=STRIPE * 8, codec="zstd", asbytes=True)
-            total[stripe] = total.get(stripe, 0) + np.frombuffer(raw, np.int64)
-    if total:
-        yield _stripes(total.keys(), total.values())
+def _tell(asked: pa.Table) -> pa.Table:
+    """For every group its shingles' numbers of documents in the whole corpus."""
+    hashes = [np.cumsum(expand(x, np.uint64), dtype=np.uint64) for x in asked.column("hash").to_pylist()]
+    docs = np.concatenate([expand(x, np.int64) for x in asked.column("docs").to_pylist()])
+    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(inverse, weights=docs).astype(np.int64)[inverse]
+    part = asked.column("part")[0].as_py()
+    ends = np.cumsum([len(h) for h in hashes])
+    rows = [
+        (grp, part, squeeze(small(total[end - len(h) : end])))
+        for grp, h, end in zip(asked.column("grp").to_pylist(), hashes, ends)
+    ]
+    return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), _TELL)], schema=_TELL)
 
 
-def list_lengths(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """Order of magnitude of each counter's lists (half powers of two), ``COUNTERS`` bytes."""
-    stripes = docs.select(text_col).mapInArrow(_sketch(size, text_col), "stripe int, counts binary")
-    summed = stripes.repartition(COUNTERS // STRIPE, "stripe").mapInArrow(_sum_stripes, "stripe int, counts binary")
-    total = np.zeros(COUNTERS, np.int64)
-    for row in summed.collect():  # COUNTERS numbers, whatever the corpus
-        raw = pa.decompress(bytes(row.counts), decompressed_size=STRIPE * 8, codec="zstd", asbytes=True)
-        total[row.stripe * STRIPE : (row.stripe + 1) * STRIPE] += np.frombuffer(raw, np.int64)
-    return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
+# --- sets, their classes and short lists -----------------------------------------------
 
 
 def _needed(n, percent: int):
@@ -107,61 +110,72 @@ def _needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _sets(size: int, percent: int, lengths: np.ndarray, id_: str, text: str):
-    schema = pa.schema(
-        [("id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("short", pa.list_(pa.int64()))]
-    )
+_SETS = pa.schema(
+    [("id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64())]
+    + [(c, pa.list_(pa.int64())) for c in ("short", "place")]
+)
+_SETS_SQL = "id long, n long, sig1 long, sig2 long, short array<bigint>, place array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for words in chunks(batch.column(1)):
-                owner, code = shingle_sets(words, size)
-                n = np.bincount(owner, minlength=words.texts)
-                first = np.r_[0, np.cumsum(n)]
-                sums = np.zeros((2, len(code) + 1), np.uint64)
-                np.cumsum(mix(code + np.uint64(1)), out=sums[0, 1:])
-                np.cumsum(mix(code ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
-                sig = (sums[:, first[1:]] - sums[:, first[:-1]]).view(np.int64)
-                order = np.lexsort((code, lengths[_counter(code)], owner))
-                place = np.arange(len(code)) - first[owner]
-                short = n - _needed(n, percent) + 1
-                take = order[place < short[owner]]
-                offsets = np.r_[0, np.cumsum(np.where(n > 0, short, 0))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(words.row, words.texts).cast(pa.int64()), pa.array(n), pa.array(sig[0]), pa.array(sig[1]),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(code[take].view(np.int64))),
-                    ],
-                    schema=schema,
-                )
+
+def _sets(size: int, percent: int):
+    """A row per document: size and signature of its set, its short lists, and their
+    places among all its lists, shortest first.
+
+    Of the n - T + 1 shortest lists those of one document are left out: nobody else
+    is found there.
+    """
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _SETS.empty_table()
+        parts = [(words, *shingle_sets(words, size)) for words in chunks(docs.column("text"))]
+        each, inverse = np.unique(np.concatenate([code for _, _, code in parts]), return_inverse=True)
+        told = told.sort_by("part")
+        length = np.concatenate([expand(x, np.int64) for x in told.column("docs").to_pylist()] or [np.zeros(0, np.int64)])
+        length, at, made = length[inverse], 0, []
+        for words, owner, code in parts:
+            own = length[at : at + len(code)]
+            at += len(code)
+            n = np.bincount(owner, minlength=words.texts)
+            first = np.r_[0, np.cumsum(n)]
+            sums = np.zeros((2, len(code) + 1), np.uint64)
+            np.cumsum(mix(code + np.uint64(1)), out=sums[0, 1:])
+            np.cumsum(mix(code ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
+            sig = (sums[:, first[1:]] - sums[:, first[:-1]]).view(np.int64)
+            order = np.lexsort((code, own, owner))
+            place = np.arange(len(code)) - first[owner]
+            rank = np.empty(len(code), np.int64)
+            rank[order] = place
+            take = order[(place < (n - _needed(n, percent) + 1)[owner]) & (own[order] > 1)]
+            offsets = np.r_[0, np.cumsum(np.bincount(owner[take], minlength=words.texts))].astype(np.int32)
+            cells = [(offsets, code[take].view(np.int64)), (offsets, rank[take])]
+            made.append(
+                [pa.array(n), pa.array(sig[0]), pa.array(sig[1]), *[pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in cells]]
+            )
+        return pa.table([docs.column("id"), *[pa.chunked_array(c) for c in zip(*made)]], schema=_SETS)
 
     return run
 
 
-def _probe(query: np.ndarray, other: np.ndarray, lengths: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are linked: short lists first, then the long ones in blocks."""
-    total = len(query) + len(other)
-    needed = -(-percent * total // (100 + percent))
-    order = np.argsort(lengths[_counter(query)], kind="stable")
-    ranked = query[order]
-    got, left = 0, len(ranked)
-    steps = [len(ranked) - min(len(ranked), needed) + 1]
-    while steps[-1] < len(ranked):
-        steps.append(min(len(ranked), steps[-1] * 2))
-    start = 0
-    for stop in steps:
-        part = ranked[start:stop]
+# --- verification ----------------------------------------------------------------------
+
+
+def _probe(query: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked, by binary search block by block."""
+    needed = -(-percent * (len(query) + len(other)) // (100 + percent))
+    got, start, step = 0, 0, 32
+    while start < len(query):
+        part = query[start : start + step]
         at = np.searchsorted(other, part)
         got += int((other[np.minimum(at, len(other) - 1)] == part).sum())
-        left -= len(part)
-        start = stop
-        if got + left < needed or (start == steps[0] and not got):
+        start += len(part)
+        step *= 2
+        if got + len(query) - start < needed:
             return False
-    return 100 * got >= percent * (total - got)
+    return 100 * got >= percent * (len(query) + len(other) - got)
 
 
-def _verify(size: int, percent: int, lengths: np.ndarray):
+def _verify(size: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def sets(column: pa.Array) -> list[np.ndarray]:
@@ -175,7 +189,7 @@ def _verify(size: int, percent: int, lengths: np.ndarray):
         for batch in batches:
             if batch.num_rows:
                 pairs = zip(sets(batch.column(2)), sets(batch.column(3)))
-                keep = pa.array([bool(len(x) and len(y) and _probe(x, y, lengths, percent)) for x, y in pairs])
+                keep = pa.array([bool(len(x) and len(y) and _probe(x, y, percent)) for x, y in pairs])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema
                 )
@@ -199,38 +213,60 @@ def similar_classes(
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lengths = list_lengths(base, "text", size)
-    made = base.mapInArrow(
-        _sets(size, percent, lengths, "id", "text"), "id long, n long, sig1 long, sig2 long, short array<bigint>"
-    )
+    total = text_bytes(base, "text")
+    groups, parts = parts_for(total, GROUP_BYTES), parts_for(total, PART_BYTES)
+    grouped = base.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    asked = grouped.select("grp", "text").groupBy("grp").applyInArrow(_ask(size, parts), "part long, grp long, hash binary, docs binary")
+    told = scratch.write(asked.groupBy("part").applyInArrow(_tell, "grp long, part long, docs binary"), "told")
+    made = grouped.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_sets(size, percent), _SETS_SQL)
     made = scratch.write(made, "sets")
+    scratch.drop("told")
     # One member stands for all documents with the same set.
     known = made.where(F.col("id").isNotNull() & (F.col("n") > 0))
     equal = scratch.write(
-        known.groupBy("sig1", "sig2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("m")).where("rep <> m").drop("m"),
+        known.groupBy("sig1", "sig2", "n")
+        .agg(F.min("id").alias("rep"), F.max("id").alias("m"))
+        .where("rep <> m")
+        .drop("m"),
         "equal",
     )
     rows = scratch.write(
-        known.join(equal, ["sig1", "sig2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "short"),
+        known.join(equal, ["sig1", "sig2", "n"], "left").select(
+            "id", "n", F.coalesce("rep", "id").alias("rep"), F.arrays_zip("short", "place").alias("short")
+        ),
         "rows",
     )
     copies = rows.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    postings = rows.where("id = rep").select(F.explode("short").alias("token"), "id", F.col("n").cast("int").alias("n"))
+    postings = rows.where("id = rep").select(F.explode("short").alias("x"), "id", "n")
+    # What follows a list's place is all a document can share with one it meets there first.
+    postings = postings.select(
+        F.col("x.short").alias("token"), "id", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("x.place")).cast("int").alias("m")
+    )
     lists = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    members = scratch.write(postings.join(lists.select("token", "low"), "token"), "members")
-    texts = base.join(members.select("id").distinct(), "id", "left_semi")
-    texts = scratch.write(texts, "texts")
-    links, tested, comps = None, None, None
-    leaders = members.where("id = low").select("token", F.col("id").alias("lead"), F.col("n").alias("lead_n"))
-    members = members.select("token", "id", "n", F.col("id").alias("comp"))
-    leaders = leaders.withColumn("lead_comp", F.col("lead"))
+    members = scratch.write(postings.join(lists.select("token"), "token").withColumn("comp", F.col("id")), "members-0")
+    texts = scratch.write(base.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    links = tested = None
     turn = 0
-    while True:
+    while not members.isEmpty():
+        # Leaders of a list: first some of its largest component, whom most others are
+        # linked with; then the others.
         turn += 1
+        main = F.lit(0) if turn <= MAIN_ROUNDS else F.when(F.col("comp") == F.col("main"), 1).otherwise(0)
+        if turn > 1:
+            members = members.join(_largest(members), "token")
+        order = Window.partitionBy("token").orderBy(main, "id") if turn > 1 else Window.partitionBy("token").orderBy("id")
+        leaders = scratch.write(
+            members.withColumn("__r", F.row_number().over(order))
+            .where(F.col("__r") <= (MAIN_LEADERS if turn <= MAIN_ROUNDS else LEADERS))
+            .select("token", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("m").alias("lead_m"), F.col("comp").alias("lead_comp")),
+            f"leaders-{turn}",
+        )
         near = (
             members.join(leaders, "token")
             .where("id <> lead AND comp <> lead_comp")
             .where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+            # A pair is found at the first list it shares; there its overlap has room.
+            .where((100 + percent) * F.least("m", "lead_m") >= percent * (F.col("n") + F.col("lead_n")))
             .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
             .groupBy("a", "b")
             .agg(F.count(F.lit(1)).alias("occurrences"))
@@ -244,40 +280,28 @@ def similar_classes(
             near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verify(size, percent, lengths), "a long, b long")
+            .mapInArrow(_verify(size, percent), "a long, b long")
         )
         found = scratch.write(found, f"links-{turn}")
         links = found if links is None else links.union(found)
-        comps = components(links, scratch, f"labels-{turn}")
-        left = (
-            members.drop("comp")
-            .join(leaders.select("token", F.col("lead").alias("id")), ["token", "id"], "left_anti")
-            .join(comps, "id", "left")
-            .withColumn("comp", F.coalesce("comp", "id"))
+        members = members.select("token", "id", "n", "m", "comp").join(
+            leaders.select("token", F.col("lead").alias("id")), ["token", "id"], "left_anti"
         )
+        if not found.isEmpty():
+            comps = components(links, scratch, f"labels-{turn}").withColumnRenamed("comp", "new")
+            members = members.join(comps, "id", "left").withColumn("comp", F.coalesce("new", "id")).drop("new")
         # Lists whose members are one component are done.
-        by_comp = left.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = (
-            by_comp.groupBy("token")
-            .agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-            .where("x <> y")
-            .select("token", "main")
-        )
-        members = scratch.write(left.join(mixed, "token").select("token", "id", "n", "comp", "main"), f"members-{turn}")
-        scratch.drop("members" if turn == 1 else f"members-{turn - 1}")
-        if members.isEmpty():
-            break
-        # All but the largest component lead in turn, some at a time.
-        order = Window.partitionBy("token").orderBy("id")
-        leaders = scratch.write(
-            members.where("comp <> main")
-            .withColumn("__r", F.row_number().over(order))
-            .where(F.col("__r") <= LEADERS)
-            .select("token", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp")),
-            f"leaders-{turn}",
-        )
-        members = members.drop("main")
-    comps = components(links.union(copies), scratch, "final")
+        mixed = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        members = scratch.write(members.join(mixed.select("token"), "token").select("token", "id", "n", "m", "comp"), f"members-{turn}")
+        scratch.drop(f"members-{turn - 1}", f"leaders-{turn}")
+    linked = copies if links is None else links.union(copies)
+    comps = components(linked, scratch, "final")
     return made.select("id", "n").join(comps, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")
     )
+
+
+def _largest(members: DataFrame) -> DataFrame:
+    """(token, main): each list's component with the most members."""
+    sizes = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
