@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """13-word windows stay in the smallest document that has them; every row stays."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = substring_dedup.remove_repeats(docs, window=13, carry=carry)
+    out = substring_dedup.remove_repeats(docs, window=13, carry=carry, made="__")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

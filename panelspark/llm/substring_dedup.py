@@ -176,7 +176,7 @@ def _without(words, d: int, removed: np.ndarray) -> str:
     return b"".join(x.tobytes() for x in kept).decode("utf-8")
 
 
-def _remove(size: int, text: str, out: pa.Schema):
+def _remove(size: int, text: str, made: str, out: pa.Schema):
     def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
         found: dict[int, list[np.ndarray]] = {}
         for keys, sizes, starts in zip(*(cuts.column(n).to_pylist() for n in ("keys", "sizes", "starts"))):
@@ -203,21 +203,22 @@ def _remove(size: int, text: str, out: pa.Schema):
             for row, value in changed.items():
                 kept[row] = value
             texts = pa.array(kept, pa.string())
-        made = {text: texts, "n_words": pa.array(total), "n_removed": pa.array(removed)}
-        return pa.table([made[f.name] if f.name in made else docs.column(f.name) for f in out], schema=out)
+        new = {text: texts, f"{made}n_words": pa.array(total), f"{made}n_removed": pa.array(removed)}
+        return pa.table([new[f.name] if f.name in new else docs.column(f.name) for f in out], schema=out)
 
     return run
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
-    carry: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (), made: str = "",
 ) -> DataFrame:
     """Cut every word covered by a ``window``-word run that starts in a smaller id too.
 
     Returns ``id_col``, the ``carry`` columns, the text less its removed words
     (white space between kept words stays), ``n_words`` and ``n_removed``. Windows
-    are judged on the input, not on what is left.
+    are judged on the input, not on what is left. ``made`` is put before the names of
+    the two counts, should carried ones clash.
 
     A null text stays null with no words; texts shorter than the window keep
     everything. A null id comes after every other. Rows that share an id never cut
@@ -239,16 +240,16 @@ def remove_repeats(
     )
     cuts = blocks.groupBy("part").applyInArrow(_meet(groups), _CUTS_SQL)
     cuts = scratch.write(cuts, "cuts")
-    kept = base.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    kept = base.schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     out = pa.schema(
-        [f for f in to_arrow_schema(kept)] + [pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64())]
+        [f for f in to_arrow_schema(kept)] + [pa.field(f"{made}{n}", pa.int64()) for n in ("n_words", "n_removed")]
     )
     return (
         keyed.withColumn("__grp", F.col("__key") % groups)
         .groupBy("__grp")
         .cogroup(cuts.groupBy("grp"))
-        .applyInArrow(_remove(window, text_col, out), f"{fields}, n_words long, n_removed long")
+        .applyInArrow(_remove(window, text_col, made, out), f"{fields}, `{made}n_words` long, `{made}n_removed` long")
     )

@@ -190,6 +190,25 @@ class LabelModel:
     correlated: list[tuple[int, int]]
 
 
+def _triplets(r: np.ndarray) -> np.ndarray:
+    """Loading of each voter: its correlations with two others over theirs with each other.
+
+    The median over all pairs of others stands firm while most are not correlated
+    beyond the label.
+    """
+    n = len(r)
+    if n < 3:
+        return np.sqrt(np.clip(np.abs(r - np.eye(n)).max(1, initial=0.25), 0.01, 0.96))
+    out = np.zeros(n)
+    for i in range(n):
+        j, k = np.triu_indices(n, 1)
+        keep = (j != i) & (k != i) & (np.abs(r[j, k]) > 0.01)
+        ratio = r[i, j[keep]] * r[i, k[keep]] / r[j[keep], k[keep]]
+        out[i] = np.sqrt(np.clip(np.median(ratio), 0, 0.96)) if len(ratio) else 0.0
+    # Most voters are better than chance; the rest agree with them less than not at all.
+    return out * np.where(r @ out - out < 0, -1, 1)
+
+
 def fit_label_model(moments: np.ndarray, prior: float) -> LabelModel:
     """Accuracies and correlations from vote counts over all documents.
 
@@ -210,21 +229,19 @@ def fit_label_model(moments: np.ndarray, prior: float) -> LabelModel:
     scale = np.sqrt(np.diag(c))
     r = c / np.outer(scale, scale)
     use = ~np.eye(len(live), dtype=bool)
-    values, vectors = np.linalg.eigh(r)
-    load = vectors[:, -1] * np.sqrt(max(values[-1], 1e-9))
-    load *= np.sign(load.sum() or 1.0)
+    load = _triplets(r)
     for _ in range(20):
+        rest = np.abs(r - np.outer(load, load)) * use
+        # Most pairs are explained; those far beyond the usual rest are correlated.
+        new = rest > max(0.1, 4 * np.median(rest[use]) if use.any() else 1.0)
+        if (use & ~new).sum() >= 3 * len(live):
+            use &= ~new
         for _ in range(50):
             # Least squares for one loading given the others, damped.
             down = np.maximum((use * load**2).sum(1), 1e-6)
             load = 0.5 * load + 0.5 * np.clip((use * r * load).sum(1) / down, -0.98, 0.98)
-        rest = np.abs(r - np.outer(load, load)) * use
-        # Most pairs are explained; those far beyond the usual rest are correlated.
-        limit = max(0.1, 4 * np.median(rest[use]) if use.any() else 1.0)
-        new = rest > limit
-        if not new.any() or (use & ~new).sum() < 3 * len(live):
+        if not new.any():
             break
-        use &= ~new
     spread = np.sqrt(prior * (1 - prior))
     delta = load * scale / spread  # difference of a voter's mean between the labels
     within = c - np.outer(load * scale, load * scale)
