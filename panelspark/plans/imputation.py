@@ -106,17 +106,17 @@ def impute_long(
     persons: DataFrame,
     numbers: Sequence[str],
     flags: Sequence[str],
-    targets: Sequence[str] | None,
+    outputs: Sequence[str] | None = None,
+    targets: Sequence[str] | None = None,
     **settings,
 ) -> DataFrame:
-    """One forest per variable over visit rows.
+    """One forest per variable over visit rows; every column with gaps is filled.
 
     Other visits of the person enter as the last value before, the first after
-    and the mean of the others, for every measure to fill; so the number of
-    forests does not grow with the number of visits.
+    and the mean of the others, for every measure; so the number of forests does
+    not grow with the number of visits. ``targets`` limits what is filled.
     """
-    helped = list(targets) if targets else [*numbers, *flags]
-    rows, features = person_features(with_person(rows, persons), helped)
+    rows, features = person_features(with_person(rows, persons), [*numbers, *flags])
     return forest_impute(
         rows.withColumn("visit_no", F.col("n_vis").cast("double")),
         row_key=["id", "visdate"],
@@ -133,25 +133,27 @@ def impute_wide(
     persons: DataFrame,
     numbers: Sequence[str],
     flags: Sequence[str],
-    targets: Sequence[str] | None,
+    outputs: Sequence[str] | None = None,
+    targets: Sequence[str] | None = None,
     **settings,
 ) -> DataFrame:
     """One forest per variable and visit number over the person matrix.
 
-    The matrix has a column per variable and visit, so this layout is for panels
+    Every cell with gaps is filled and ``outputs`` (default: all measures) are taken
+    back to visits; ``targets`` limits the measures that are filled. The matrix has a column per variable and visit, so this layout is for panels
     with few visits per person.
     """
     measures = [*numbers, *flags, YEAR]
     packed = with_person(pack_visits(rows, measures), persons)
     matrix = widen(packed, measures, visit_numbers(rows), ["id", *PERSON])
     cells = {m: [c for c in matrix.columns if c.startswith(f"{m}_") and c[len(m) + 1:].isdigit()] for m in measures}
-    kept = list(targets) if targets else [*numbers, *flags]
+    kept = list(outputs) if outputs else [*numbers, *flags]
     filled = forest_impute(
         matrix,
         row_key=["id"],
         numeric=[c for m in numbers for c in cells[m]],
         levels=[*[c for m in [*flags, YEAR] for c in cells[m]], *PERSON],
-        targets=[c for m in kept for c in cells[m]] + ([] if targets else PERSON),
+        targets=[c for m in targets for c in cells[m]] if targets else None,
         **settings,
     ).data
     out = rows.select("id", "visdate", "n_vis", YEAR)
@@ -174,7 +176,7 @@ def impute_condition(
     on = ["id", "visdate", "n_vis"]
     if name == "renal":
         return _impute_renal(rows, persons, flags, fill, settings).select(*on, *condition.outputs)
-    filled = fill(rows, persons, [*condition.numbers, *NOT_LEVELS], flags, condition.outputs, **settings)
+    filled = fill(rows, persons, [*condition.numbers, *NOT_LEVELS], flags, outputs=condition.outputs, **settings)
     if name == "dep":
         filled = over_columns(filled, "cesdtot", lambda c: F.ceil(c).cast("double"))
     return filled.select(*on, *condition.outputs)
@@ -184,12 +186,12 @@ def _impute_renal(rows, persons, flags, fill, settings) -> DataFrame:
     """Three models: protein over all years, filtration before and from the split on."""
     on = ["id", "visdate", "n_vis"]
     protein = fill(
-        rows.drop("gfr"), persons, ["uprt_crt", *NOT_LEVELS], flags, ["uprt_crt", "renaltx6m"], **settings
+        rows.drop("gfr"), persons, ["uprt_crt", *NOT_LEVELS], flags, outputs=["uprt_crt", "renaltx6m"], **settings
     )
     parts = []
     for early in (True, False):
         part = rows.filter(F.col(YEAR) < GFR_SPLIT if early else F.col(YEAR) >= GFR_SPLIT)
-        filled = fill(part.drop("uprt_crt"), persons, ["gfr", *NOT_LEVELS], flags, ["gfr"], **settings)
+        filled = fill(part.drop("uprt_crt"), persons, ["gfr", *NOT_LEVELS], flags, outputs=["gfr"], **settings)
         filled = filled.select(*on, "gfr")
         parts.append(filled.withColumn("gfr", cap_above("gfr", GFR_CAP)) if early else filled)
     filtration = bind_rows(*parts)
@@ -200,5 +202,5 @@ def impute_covariates(tables: Mapping[str, DataFrame], layout: str = "long", **s
     """Imputed covariates and baseline columns of every visit."""
     rows, persons = visit_table(tables, None), person_table(tables)
     flags = [c for c in [*SOCDEM, *DRUG, *HIV] if c not in NOT_LEVELS]
-    filled = LAYOUTS[layout](rows, persons, NOT_LEVELS, flags, None, **settings)
+    filled = LAYOUTS[layout](rows, persons, NOT_LEVELS, flags, **settings)
     return filled.select("id", "visdate", "n_vis", *PERSON, *SOCDEM, *DRUG, *HIV, YEAR)

@@ -56,3 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
     done = df.checkpoint()
     df.unpersist()
     return done
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the files of ``cut(...)``'s result, once nothing reads them any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
