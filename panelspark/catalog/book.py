@@ -93,7 +93,7 @@ FROM customer WHERE c_acctbal < 0""",
 step(
     "registry",
     """
-SELECT l_orderkey AS rec, l_linenumber AS ln, l_partkey % 1500 AS id,
+SELECT l_orderkey AS rec, l_linenumber AS ln, o_custkey AS id,
        CASE WHEN l_linenumber = 7 THEN 'NA'
             ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS dx_date,
        CASE WHEN l_orderkey % 9 = 0 THEN 'NA' ELSE p_type END AS kind,
@@ -101,7 +101,7 @@ SELECT l_orderkey AS rec, l_linenumber AS ln, l_partkey % 1500 AS id,
        CASE WHEN l_orderkey % 3 = 0 THEN 'NA' ELSE CAST(l_partkey % 10 AS VARCHAR) END AS stage_b,
        CASE WHEN l_returnflag = 'A' THEN 'NA' ELSE CAST(year(l_shipdate) AS VARCHAR) END AS tx1,
        CASE WHEN l_linestatus = 'F' THEN 'NA' ELSE CAST(year(l_shipdate) + 1 AS VARCHAR) END AS tx2
-FROM lineitem JOIN part ON l_partkey = p_partkey""",
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
 )
 step(
     "prognosis",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog.book import query, step
 from panelspark.catalog.measures import counted
 from panelspark.operators import cohort, panel, survival
-from panelspark.operators.keys import keep_keys
+from panelspark.operators.keys import drop_keys, keep_keys
 from panelspark.sources import views
 
 ORIGIN = dt.date(1996, 1, 1)
@@ -206,6 +206,33 @@ def deaths_in_cohort(spark, sf_dir):
     return keep_keys(died, censored(spark, sf_dir), "id")
 
 
+@query(
+    "deaths_outside_cohort",
+    "SELECT id, dod FROM deaths WHERE id NOT IN (SELECT id FROM censored)",
+    "deaths",
+    "censored",
+)
+def deaths_outside_cohort(spark, sf_dir):
+    return drop_keys(views.deaths(spark, sf_dir), censored(spark, sf_dir), "id")
+
+
+@query(
+    "append_deaths_as_written",
+    """
+SELECT id, visit, n_cond, visdate, dead,
+       CASE WHEN dead = 1 THEN lag(visdate) OVER (PARTITION BY id ORDER BY visdate, dead) ELSE visdate0 END AS visdate0,
+       CASE WHEN dead = 1 THEN 0 ELSE censor END AS censor
+FROM (SELECT *, lag(censor, 1, 0) OVER (PARTITION BY id ORDER BY visdate, dead) AS before FROM stacked)
+WHERE before = 0""",
+    "stacked",
+)
+def append_deaths_as_written(spark, sf_dir):
+    """Only the row right after a death or censoring goes."""
+    return cohort.append_deaths(
+        censored(spark, sf_dir), views.deaths(spark, sf_dir), exclude_year=2001, as_written=True
+    )
+
+
 @query("append_deaths", "SELECT * FROM closed", "closed")
 def append_deaths(spark, sf_dir):
     return closed(spark, sf_dir)

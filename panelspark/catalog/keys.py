@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from panelspark.catalog.book import query, step
 from panelspark.functions import days_between, keep_levels, years_between
 from panelspark.operators import reshape
-from panelspark.operators.keys import first_per_key, join_on, last_per_key, over_columns, star_join
+from panelspark.operators.keys import (
+    first_per_key,
+    join_on,
+    last_per_key,
+    over_columns,
+    repeated_keys,
+    star_join,
+)
 from panelspark.operators.panel import person_order, visit_number
 from panelspark.sources import views
 from panelspark.sources.tables import settle
@@ -181,23 +188,11 @@ def visit_star(spark, sf_dir):
     return star_join(rows.select(*on), sides, on)
 
 
-def _pivot(measure: str, value: str) -> str:
-    """Wide table with a column ``{measure}_{n_vis}`` for every visit number that occurs."""
-    return f"""
-(PIVOT (SELECT id, '{measure}_' || n_vis AS cell, {value} AS value FROM numbered)
- ON cell USING first(value))"""
-
-
-WIDE_LABS, WIDE_DX = _pivot("lab1", "lab1"), _pivot("dx", "dx")
-WIDE_YR = _pivot(
-    "yr", "CASE WHEN year(visdate) BETWEEN 1996 AND 2000 THEN CAST(year(visdate) AS INT) END"
-)
-
 # Every person with every visit number that occurs, observed or not.
 step(
     "all_cells",
     """
-SELECT p.id, n.n_vis, v.lab1, v.dx
+SELECT p.id, n.n_vis, v.lab1, v.dx, v.visdate
 FROM (SELECT DISTINCT id FROM numbered) p
 CROSS JOIN (SELECT DISTINCT n_vis FROM numbered) n
 LEFT JOIN numbered v ON v.id = p.id AND v.n_vis = n.n_vis""",
@@ -206,12 +201,21 @@ LEFT JOIN numbered v ON v.id = p.id AND v.n_vis = n.n_vis""",
 
 
 def _wide(spark, sf_dir):
-    return reshape.pivot_visits(visit_number(views.visits(spark, sf_dir)), ["lab1", "dx"])
+    return reshape.pivot_visits(visit_number(views.visits(spark, sf_dir)), ["lab1", "dx"], dense=True)
 
 
-@query("pivot_visits", f"SELECT * FROM {WIDE_LABS} JOIN {WIDE_DX} USING (id)", "numbered")
+@query(
+    "pivot_visits",
+    """
+SELECT id, 'lab1_' || n_vis AS cell, lab1 AS value FROM all_cells
+UNION ALL
+SELECT id, 'dx_' || n_vis, CAST(dx AS DOUBLE) FROM all_cells""",
+    "all_cells",
+)
 def pivot_visits(spark, sf_dir):
-    return _wide(spark, sf_dir)
+    # The matrix has as many columns as the longest person has visits, so it is
+    # compared cell by cell, empty ones and column names included.
+    return reshape.melt(_wide(spark, sf_dir))
 
 
 @query("unpivot_measure", "SELECT id, n_vis, lab1 FROM all_cells", "all_cells")
@@ -234,19 +238,49 @@ def observed_cells(spark, sf_dir):
 
 @query(
     "visit_matrix",
-    f"""
-SELECT * FROM (SELECT id, segment, grp01 FROM subjects)
-RIGHT JOIN (SELECT * FROM {WIDE_LABS} JOIN {WIDE_DX} USING (id) JOIN {WIDE_YR} USING (id)) USING (id)""",
+    """
+SELECT a.id, cell, CASE WHEN grp01 IS NULL THEN NULL ELSE CAST(grp01 AS INT) END AS grp01, value
+FROM (SELECT id, 'lab1_' || n_vis AS cell, lab1 AS value FROM all_cells
+      UNION ALL
+      SELECT id, 'dx_' || n_vis, CAST(CASE WHEN dx IN (0, 1) THEN dx END AS DOUBLE) FROM all_cells
+      UNION ALL
+      SELECT id, 'yr_' || n_vis,
+             CAST(CASE WHEN year(visdate) BETWEEN 1996 AND 2000 THEN year(visdate) END AS DOUBLE) FROM all_cells) a
+LEFT JOIN subjects USING (id)""",
+    "all_cells",
     "subjects",
-    "numbered",
 )
 def visit_matrix(spark, sf_dir):
     # Levels are checked on the long rows, once per cell that exists.
-    persons = views.subjects(spark, sf_dir).select("id", "segment", "grp01")
+    persons = views.subjects(spark, sf_dir).select("id", F.col("grp01").cast("int").alias("grp01"))
     rows = visit_number(views.visits(spark, sf_dir)).withColumn("yr", F.year("visdate"))
     rows = over_columns(rows, ["dx"], lambda c: keep_levels(c, [0, 1]))
     rows = over_columns(rows, ["yr"], lambda c: keep_levels(c, range(1996, 2001)))
     # The person's columns join the packed visits, before there are many columns.
     measures = ["lab1", "dx", "yr"]
     matrix = join_on(persons, reshape.pack_visits(rows, measures), "id", "right")
-    return reshape.widen(matrix, measures, reshape.visit_numbers(rows), persons.columns)
+    wide = reshape.widen(matrix, measures, reshape.visit_numbers(rows), persons.columns, dense=True)
+    return reshape.melt(wide, persons.columns)
+
+
+@query(
+    "study_order",
+    """
+SELECT id, visdate, lab2, CAST(row_number() OVER (PARTITION BY id ORDER BY lab2 ASC NULLS LAST, visdate) AS INT) AS place
+FROM visits""",
+    "visits",
+)
+def study_order(spark, sf_dir):
+    """Visits of a person from the lowest measure on, missing ones last."""
+    rows = views.visits(spark, sf_dir).select("id", "visdate", "lab2")
+    order = person_order("id", ["lab2", "visdate"])
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+@query(
+    "repeated_days",
+    "SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS visdate, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def repeated_days(spark, sf_dir):
+    """Person-days whose rows would multiply a join."""
+    return repeated_keys(views.raw_visits(spark, sf_dir), ["id", "visdate"])

@@ -15,12 +15,9 @@ from panelspark.functions import (
     strict_if,
 )
 from panelspark.operators.keys import bind_rows, join_on, over_columns
+from panelspark.plans.intake import PERIOD_BREAKS, PERIODS
 from panelspark.sources import views
 
-PERIOD_BREAKS = [1987, 1992, 1997, 2001, 2015, 2018]
-PERIOD_LABELS = ["1988-1992", "1994-1997", "1998-2001", "2005-2015", "2016-2018"]
-
-
 @query(
     "period_bins",
     """
@@ -37,7 +34,7 @@ def period_bins(spark, sf_dir):
     return views.subjects(spark, sf_dir).select(
         "id",
         "yr_enroll",
-        right_closed_bins("yr_enroll", PERIOD_BREAKS, PERIOD_LABELS).alias("period"),
+        right_closed_bins("yr_enroll", PERIOD_BREAKS, PERIODS).alias("period"),
     )
 
 
@@ -150,16 +147,11 @@ FROM visits""",
     "visits",
 )
 def split_cap_union(spark, sf_dir):
-    # One pass: the cap depends on the part a row belongs to, so the split and
-    # the union of the parts are one expression over the same rows.
-    rows = views.visits(spark, sf_dir).select("id", "visit", "visdate", "lab1")
-    early = F.year("visdate") < 1998
-    return rows.withColumns(
-        {
-            "lab1": F.when(early, cap_above("lab1", 250000.0)).otherwise(F.col("lab1")),
-            "part": F.when(early, "early").otherwise("late"),
-        }
-    )
+    # Parts by year, each treated on its own, then stacked again. The years reach the scans.
+    early = views.visits(spark, sf_dir, (1900, 1997)).select("id", "visit", "visdate", "lab1")
+    late = views.visits(spark, sf_dir, (1998, 2100)).select("id", "visit", "visdate", "lab1")
+    capped = over_columns(early, "lab1", lambda c: cap_above(c, 250000.0))
+    return bind_rows(capped.withColumn("part", F.lit("early")), late.withColumn("part", F.lit("late")))
 
 
 @query(

@@ -54,11 +54,6 @@ def collapse(df: DataFrame, key, order: str) -> DataFrame:
     return picked.select(*df.columns)
 
 
-def distinct_keys(df: DataFrame, key) -> DataFrame:
-    """The distinct key values."""
-    return df.select(*as_list(key)).distinct()
-
-
 def repeated_keys(df: DataFrame, key) -> DataFrame:
     """Keys that occur more than once, with their row count ``n``."""
     return df.groupBy(*as_list(key)).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -104,25 +99,22 @@ def join_on(
     return joined.select(*own, *extra)
 
 
-def keep_keys(df: DataFrame, other: DataFrame, on) -> DataFrame:
-    """Rows whose key occurs in ``other``."""
-    return join_on(df, other.select(*as_list(on)), on, "left_semi", null_safe=True)
+def keep_keys(df: DataFrame, other: DataFrame, on, null_safe: bool = False) -> DataFrame:
+    """Rows whose key occurs in ``other``; with ``null_safe`` a missing key may too."""
+    return join_on(df, other.select(*as_list(on)), on, "left_semi", null_safe)
 
 
-def drop_keys(df: DataFrame, other: DataFrame, on) -> DataFrame:
-    """Rows whose key does not occur in ``other``."""
-    return join_on(df, other.select(*as_list(on)), on, "left_anti", null_safe=True)
+def drop_keys(df: DataFrame, other: DataFrame, on, null_safe: bool = False) -> DataFrame:
+    """Rows whose key does not occur in ``other``; a missing key stays unless ``null_safe``."""
+    return join_on(df, other.select(*as_list(on)), on, "left_anti", null_safe)
 
 
-def attach_table(df: DataFrame, table: DataFrame, on, max_rows: int = 50_000) -> DataFrame:
+def attach_table(df: DataFrame, table: DataFrame, on) -> DataFrame:
     """Null-safe left join onto a code table.
 
-    The table is counted first, never past ``max_rows + 1``. Up to that size it
-    is broadcast, so the large side keeps its place however skewed its codes
-    are; a larger table takes the ordinary shuffled join.
+    Spark broadcasts the table if its size at run time allows; otherwise adaptive
+    execution splits the partitions of frequent codes.
     """
-    if table.limit(max_rows + 1).count() <= max_rows:
-        table = F.broadcast(table)
     return join_on(df, table, on, "left", null_safe=True)
 
 

@@ -43,14 +43,24 @@ def visit_numbers(df: DataFrame, number: str = "n_vis") -> list[int]:
 
 
 def widen(
-    packed: DataFrame, values: Sequence[str], numbers: Sequence[int], keep="id", number: str = "n_vis"
+    packed: DataFrame,
+    values: Sequence[str],
+    numbers: Sequence[int],
+    keep="id",
+    number: str = "n_vis",
+    dense: bool = False,
 ) -> DataFrame:
     """Columns ``{value}_{number}`` from packed visits, after the ``keep`` columns.
 
     Cells are looked up by number, so the work follows the cells that exist,
-    where a pivot aggregate would carry every empty one through its buffers.
+    where a pivot aggregate would carry every empty one through its buffers. With
+    ``dense`` numbers (1, 2, 3 ... for every person, as ``visit_number`` gives them) a
+    cell's number is its place.
     """
     keep = as_list(keep)
+    if dense:
+        cells = [f"try_element_at(cells, {n}).`{v}` AS `{v}_{n}`" for v in values for n in numbers]
+        return packed.selectExpr(*[f"`{k}`" for k in keep], *cells)
     by_number = F.transform("cells", lambda c: F.struct(c[number], c))
     found = packed.select(*keep, F.map_from_entries(by_number).alias("_cells"))
     cells = [f"try_element_at(_cells, {n}).`{v}` AS `{v}_{n}`" for v in values for n in numbers]
@@ -63,6 +73,7 @@ def pivot_visits(
     key="id",
     number: str = "n_vis",
     numbers: Sequence[int] | None = None,
+    dense: bool = False,
 ) -> DataFrame:
     """One row per person with a column ``{value}_{number}`` per value and visit.
 
@@ -71,7 +82,17 @@ def pivot_visits(
     without the empty ones.
     """
     numbers = visit_numbers(df, number) if numbers is None else list(numbers)
-    return widen(pack_visits(df, values, key, number), values, numbers, key, number)
+    return widen(pack_visits(df, values, key, number), values, numbers, key, number, dense)
+
+
+def melt(wide: DataFrame, key="id", name: str = "cell", value: str = "value") -> DataFrame:
+    """Every cell of a wide matrix as a row (key, column name, value as number or text)."""
+    key = as_list(key)
+    kinds = {kind for column, kind in wide.dtypes if column not in key}
+    common = "string" if "string" in kinds else "double"
+    cells = [F.col(c).cast(common).alias(c) for c in wide.columns if c not in key]
+    names = [c for c in wide.columns if c not in key]
+    return wide.select(*key, *cells).unpivot(key, names, name, value)
 
 
 def unpivot_measure(

@@ -184,11 +184,13 @@ def state_occupancy(
 def curve_wide(curve: DataFrame, states: Sequence = STATES, time: str = "time") -> DataFrame:
     """One row per time: ``risk{state}`` and their running totals for stacking.
 
-    The totals are named for states 1, 2, 3: ``no_multi``, ``multi``, ``death``.
+    The totals of states 1, 2, 3 are ``no_multi``, ``multi``, ``death``; for other
+    states they are named after the last state they hold, ``upto{state}``.
     """
     wide = curve.groupBy(time).pivot("state", list(states)).agg(F.first("estimate"))
     wide = wide.withColumnsRenamed({str(i): f"risk{i}" for i in states})
-    names = ["no_multi", "multi", "death"][: len(states)]
+    standard = list(states) == list(STATES)
+    names = ["no_multi", "multi", "death"] if standard else [f"upto{i}" for i in states]
     return wide.withColumns(
         {
             name: reduce(lambda a, b: a + b, [F.col(f"risk{i}") for i in states[: k + 1]])

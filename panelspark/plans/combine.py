@@ -33,6 +33,7 @@ CONDITIONS = {
     "depression": ["dep_idx", "deptx6m"],
     "liver_disease": ["liver_idx"],
 }
+# Conditions that count, and those kept apart.
 COUNTED = [
     "hypertension", "diabetes", "lung_disease", "renal_disease", "liver_disease", "depression",
     "cancer", "hiv",

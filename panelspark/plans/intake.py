@@ -13,7 +13,7 @@ from panelspark.functions import (
     strict_if,
     years_between,
 )
-from panelspark.operators.keys import first_per_key, join_on
+from panelspark.operators.keys import first_per_key, join_on, repeated_keys
 
 # Enrolment periods, right-closed year bins.
 PERIOD_BREAKS = [1987, 1992, 1997, 2001, 2015, 2018]
@@ -58,9 +58,11 @@ NON_INJECTED = """
 def enriched_visits(visit_raw: DataFrame, enroll_raw: DataFrame) -> DataFrame:
     """Visits, one per person and day, with study time and derived indicators.
 
-    A person enrolled twice is an error: it would double the visits.
+    Of several rows of one day the one with the lowest visit number is kept, of equal
+    numbers the one a hash of all columns puts first; ``same_day_visits`` lists what
+    was left out. A person enrolled twice is an error: it would double the visits.
     """
-    visits = first_per_key(visit_raw, ["id", "visdate"], "visit")
+    visits = first_per_key(visit_raw, ["id", "visdate"], ["visit", F.xxhash64(*visit_raw.columns)])
     out = join_on(visits, enroll_raw.select("id", "basdate"), "id", expect="one")
     treated = F.lit(False)
     for c in DRUG_TREATMENT:
@@ -77,6 +79,11 @@ def enriched_visits(visit_raw: DataFrame, enroll_raw: DataFrame) -> DataFrame:
     )
 
 
+def same_day_visits(visit_raw: DataFrame) -> DataFrame:
+    """Person-days with more than one row, and how many rows ``enriched_visits`` leaves out."""
+    return repeated_keys(visit_raw, ["id", "visdate"]).select("id", "visdate", (F.col("n") - 1).alias("n_left_out"))
+
+
 def domain_table(visits: DataFrame, name: str) -> DataFrame:
     """The columns of one domain; ``base`` keeps each person's first visit only."""
     rows = visits.select(*KEYS, *DOMAINS[name].split())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,35 +24,51 @@ TREATMENT_DATES = {
 }
 
 # Cancers for which chemotherapy is standard whatever the stage.
-BLOOD_CANCERS = """
-    chronlymphleuk chronmyelleuk acutemyelleuk hodgelymph multmyeloma nonhodgelymph""".split()
-
-# Cancers by the treatment that is standard for them. "a+b" asks for
-# both, "a/b" for either; the last group needs none.
-STANDARD_CARE = {
-    "rad+chemo": "anus",
-    "surg": """
-        insitubadder insitufembreast insitucervix CINgradeIII kidneyren testis thyroid ureter
-        VAINgradeIII VINgradeIII""",
-    "chemo": "skinmelan",
-    "surg/rad": "brain",
-    "surg/chemo": "cervix mesothelio othdig ovary",
-    "surg/chemo/rad": """
-        fembreast malebreast colonnotrect esophagus gallbladder gumothermouth larynx liverandduct
-        lungbronch oropharynx otherbucphar pancreas rectandsig smallintest softtissue stomach
-        tongue""",
-    "": "AINgradeIII kapsarc otherendoc",
-}
+BLOOD_CANCERS = ("chronlymphleuk", "chronmyelleuk", "acutemyelleuk", "hodgelymph", "multmyeloma", "nonhodgelymph")
+
+
+
+@dataclass(frozen=True)
+class Care:
+    """Treatments that count as standard care: all of some, or any of some; none for neither."""
+
+    all_of: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
+
+
+# Cancers by the treatment that is standard for them.
+STANDARD_CARE = (
+    (Care(all_of=("rad", "chemo")), ("anus",)),
+    (
+        Care(all_of=("surg",)),
+        (
+            "insitubadder", "insitufembreast", "insitucervix", "CINgradeIII", "kidneyren", "testis", "thyroid",
+            "ureter", "VAINgradeIII", "VINgradeIII",
+        ),
+    ),
+    (Care(all_of=("chemo",)), ("skinmelan",)),
+    (Care(any_of=("surg", "rad")), ("brain",)),
+    (Care(any_of=("surg", "chemo")), ("cervix", "mesothelio", "othdig", "ovary")),
+    (
+        Care(any_of=("surg", "chemo", "rad")),
+        (
+            "fembreast", "malebreast", "colonnotrect", "esophagus", "gallbladder", "gumothermouth", "larynx",
+            "liverandduct", "lungbronch", "oropharynx", "otherbucphar", "pancreas", "rectandsig", "smallintest",
+            "softtissue", "stomach", "tongue",
+        ),
+    ),
+    (Care(), ("AINgradeIII", "kapsarc", "otherendoc")),
+)
 
 # The same for cancers whose standard depends on the stage.
-STAGED_CARE = {
-    ("bladder", "local"): "surg",
-    ("bladder", "regional"): "surg+chemo",
-    ("othfemgen", "local"): "surg",
-    ("othfemgen", "regional"): "surg/chemo/rad",
-    ("prostate", "local"): "surg",
-    ("prostate", "regional"): "surg/rad",
-}
+STAGED_CARE = (
+    ("bladder", "local", Care(all_of=("surg",))),
+    ("bladder", "regional", Care(all_of=("surg", "chemo"))),
+    ("othfemgen", "local", Care(all_of=("surg",))),
+    ("othfemgen", "regional", Care(any_of=("surg", "chemo", "rad"))),
+    ("prostate", "local", Care(all_of=("surg",))),
+    ("prostate", "regional", Care(any_of=("surg", "rad"))),
+)
 
 # Names in the lists above that no record carries, and the names
 # that were meant. Applied only on request.
@@ -134,13 +151,14 @@ def diagnoses(registry_raw: DataFrame) -> DataFrame:
     )
 
 
-def _received(need: str) -> Column:
-    """Whether the treatments named by a ``STANDARD_CARE`` key were given."""
-    if not need:
-        return F.lit(True)
-    joint, sep = (all, "+") if "+" in need else (any, "/")
-    given = [F.col(f"yr_{t}").isNotNull() for t in need.split(sep)]
-    return reduce((lambda a, b: a & b) if joint is all else (lambda a, b: a | b), given)
+def _received(care: Care) -> Column:
+    """Whether the treatments of ``care`` were given."""
+    out = F.lit(True)
+    for t in care.all_of:
+        out = out & F.col(f"yr_{t}").isNotNull()
+    if care.any_of:
+        out = out & reduce(lambda a, b: a | b, [F.col(f"yr_{t}").isNotNull() for t in care.any_of])
+    return out
 
 
 def standard_care(corrected: bool = False) -> Column:
@@ -151,15 +169,15 @@ def standard_care(corrected: bool = False) -> Column:
 
     kind, stage = F.col("cancer_type"), F.col("stage")
     rules = [
-        (kind.isin(BLOOD_CANCERS) & _received("chemo"), 1),
+        (kind.isin(*BLOOD_CANCERS) & _received(Care(all_of=("chemo",))), 1),
         ((kind == "otherilldefined") | (stage == "unknown"), None),
         (stage == "distant", 0),
         (stage == "benign", 1),
     ]
-    for need, kinds in STANDARD_CARE.items():
-        rules.append((kind.isin([name(k) for k in kinds.split()]) & _received(need), 1))
-    for (one, at), need in STAGED_CARE.items():
-        rules.append(((kind == one) & (stage == name(at)) & _received(need), 1))
+    for care, kinds in STANDARD_CARE:
+        rules.append((kind.isin(*[name(k) for k in kinds]) & _received(care), 1))
+    for one, at, care in STAGED_CARE:
+        rules.append(((kind == one) & (stage == name(at)) & _received(care), 1))
     return reg.rule_outcome(rules)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.plans.combine import combine
 from panelspark.plans.imputation import CONDITIONS, impute_condition, impute_covariates
-from panelspark.plans.intake import death_table, domain_tables, enriched_visits
+from panelspark.plans.intake import death_table, domain_tables, enriched_visits, same_day_visits
 from panelspark.plans.registry import registry
 from panelspark.plans.trajectories import follow_up, stacked_curve, state_curve, yearly_curve, yearly_states
 from panelspark.session import tune
@@ -42,6 +42,7 @@ def run_study(
     def put(name: str, df: DataFrame) -> None:
         out[name] = stage(df, root, name, buckets=buckets)
 
+    put("same_day", same_day_visits(raw["visit_raw"]))
     put("visits", enriched_visits(raw["visit_raw"], raw["enroll_raw"]))
     out |= domain_tables(out["visits"])
     put("base", out["base"])

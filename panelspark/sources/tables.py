@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,14 +76,40 @@ RAW_SCHEMAS = {
 CSV_OPTIONS = {"header": "true", "nullValue": "NA", "dateFormat": "yyyy-MM-dd"}
 
 
+def _typed(field: T.StructField) -> Column:
+    """A text column as its declared type; a cell that doesn't fit stops the job.
+
+    A whole number may be written with a fraction of zero (``1.0``).
+    """
+    text = F.trim(F.col(f"`{field.name}`"))
+    if isinstance(field.dataType, T.StringType):
+        return F.col(f"`{field.name}`")
+    value = text.try_cast(field.dataType)
+    if isinstance(field.dataType, (T.IntegerType, T.LongType)):
+        number = text.try_cast("decimal(38,6)")
+        whole = F.when(number == F.floor(number), number.try_cast(field.dataType))
+        value = F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), value), whole)
+    wrong = F.concat(F.lit(f"column {field.name} cannot hold "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(wrong)).otherwise(value).cast(field.dataType)
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """Read one table. CSV needs a schema; its columns are matched by position."""
+    """Read one table. CSV needs a schema and a header.
+
+    CSV columns are found by name, whatever their order; columns beyond the schema are
+    left out and a missing one is a ValueError. A cell that is neither missing nor of
+    its column's type stops the job that reads it.
+    """
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV table needs a declared schema")
-        return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+        text = spark.read.options(**CSV_OPTIONS).csv(path)
+        missing = [c for c in schema.names if c not in text.columns]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        return text.select(*[_typed(f).alias(f.name) for f in schema])
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
 

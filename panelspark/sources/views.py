@@ -6,25 +6,16 @@ registry record. Missing values are placed by key.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from panelspark.functions import year_range
 from panelspark.operators.keys import collapse
 
 
-@lru_cache(maxsize=256)
-def _schema(spark: SparkSession, path: str) -> StructType:
-    return spark.read.parquet(path).schema
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One stored table; its schema is looked up once per session, not per query."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(spark, path)).parquet(path)
+    """One stored table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +95,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+    persons = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    return lines.join(persons, lines.l_orderkey == persons.o_orderkey).select(
         order.alias("rec"),
         F.col("l_linenumber").alias("ln"),
-        (part % 1500).alias("id"),
+        F.col("o_custkey").alias("id"),
         text(F.col("l_linenumber") == 7, ship).alias("dx_date"),
         text(order % 9 == 0, F.col("p_type")).alias("kind"),
         text(order % 4 == 0, order % 10).alias("stage_a"),

@@ -120,3 +120,9 @@ def test_groups_have_their_own_curves(spark):
 def test_rows_without_a_known_end_are_left_out(spark):
     df = spark.createDataFrame([(1, 0, 5, 1, 2), (2, 0, 5, 1, None)], SCHEMA)
     assert rows(survival.risk_sets(df)) == [(5, 1, 1), (5, 2, 0), (5, 3, 0)]
+
+
+def test_totals_of_every_state(spark):
+    curve = spark.createDataFrame([(1, i, 0.25) for i in (0, 1, 2, 3)], "time int, state int, estimate double")
+    row = survival.curve_wide(curve, states=(0, 1, 2, 3)).first()
+    assert [row[f"upto{i}"] for i in (0, 1, 2, 3)] == [0.25, 0.5, 0.75, 1.0]

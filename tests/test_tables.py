@@ -32,6 +32,26 @@ def test_csv_written_elsewhere(spark, sample, tmp_path):
     assert rows(got) == [(1, dt.date(2008, 2, 29), None, True, None), (2, None, None, None, None)]
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("extra,flag,d,name,id,x\nz,TRUE,2008-02-29,a,1.0,2\n,FALSE,NA,NA,2,NA\n")
+    schema = spark.createDataFrame([], DDL).schema
+    got = tables.read_table(spark, str(tmp_path / "t.csv"), schema, "csv")
+    assert rows(got) == [(1, dt.date(2008, 2, 29), 2.0, True, "a"), (2, None, None, False, None)]
+
+
+def test_csv_without_a_column_is_an_error(spark, sample, tmp_path):
+    (tmp_path / "t.csv").write_text("id,d,x,name\n1,NA,NA,NA\n")
+    with pytest.raises(ValueError, match="flag"):
+        tables.read_table(spark, str(tmp_path / "t.csv"), sample.schema, "csv")
+
+
+@pytest.mark.parametrize("row", ["x,NA,NA,NA,NA", "1.5,NA,NA,NA,NA", "1,2008-13-01,NA,NA,NA", "1,NA,high,NA,NA", "1,NA,NA,perhaps,NA"])
+def test_csv_cells_that_do_not_fit_stop_the_job(spark, sample, tmp_path, row):
+    (tmp_path / "t.csv").write_text(f"id,d,x,flag,name\n{row}\n")
+    with pytest.raises(Exception, match="cannot hold"):
+        tables.read_table(spark, str(tmp_path / "t.csv"), sample.schema, "csv").collect()
+
+
 def test_csv_needs_a_schema(spark):
     with pytest.raises(ValueError):
         tables.read_table(spark, "x.csv", fmt="csv")
