@@ -294,6 +294,5 @@ FROM (SELECT DATE '1996-01-01' + h.time AS date, p1 AS risk1, p2 AS risk2, p3 AS
     "shares",
 )
 def state_curve_wide(spark, sf_dir):
-    curve = survival.state_occupancy(chained(spark, sf_dir), origin=ORIGIN)
-    wide = survival.curve_wide(curve, time="date")
+    wide = survival.occupancy_wide(chained(spark, sf_dir), origin=ORIGIN)
     return wide.select("date", *[F.round(c, 6).alias(c) for c in wide.columns if c != "date"])

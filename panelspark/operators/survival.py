@@ -3,8 +3,10 @@
 Input rows are intervals (days0, days] with the state they start in (``state0``)
 and the state they end in (``state``, or ``censor`` when the end is not an
 observed state). Intervals are counted into one row per distinct time before
-anything ordered happens, so every ordered step below works on at most one row
-per calendar day of the study, however many persons there are.
+anything ordered happens. Times are then cut into ranges of ``SPAN`` units, and no
+ordered step sees more than one range of times, or one row per range: sums before a
+range and products of transition matrices over it are carried from range to range,
+and all ranges are expanded side by side.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from panelspark.functions.dates import plus_days
 
 STATES = (1, 2, 3)
 
+# Units of time in one range: some 250 rows where the clock is days. A finer clock
+# asks for a smaller span.
+SPAN = 256
+
 
 def usable_intervals(df: DataFrame, states: Sequence = STATES) -> DataFrame:
     """Intervals of positive length with a known end that start in one of ``states``."""
@@ -30,7 +36,9 @@ def usable_intervals(df: DataFrame, states: Sequence = STATES) -> DataFrame:
     )
 
 
-def time_table(df: DataFrame, states: Sequence = STATES, censor=0, by: Sequence[str] = ()) -> DataFrame:
+def time_table(
+    df: DataFrame, states: Sequence = STATES, censor=0, by: Sequence[str] = (), span: float = SPAN
+) -> DataFrame:
     """One row per time: risk set and transition counts.
 
     Columns: ``n_i`` at risk in state i just before the time, ``e_i_j`` moves
@@ -60,11 +68,37 @@ def time_table(df: DataFrame, states: Sequence = STATES, censor=0, by: Sequence[
             if i != j
         ],
     )
-    group = [F.col(b) for b in by] or [F.lit(1)]
-    earlier = Window.partitionBy(*group).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    at_risk = {f"n_{i}": F.coalesce(F.sum(f"d_{i}").over(earlier), F.lit(0)) for i in states}
-    out = counts.withColumns(at_risk).filter(F.col("n_end") > 0)
-    return out.drop(*[f"d_{i}" for i in states])
+    return _at_risk(counts, states, by, span)
+
+
+def _at_risk(counts: DataFrame, states: Sequence, by: Sequence[str], span: float) -> DataFrame:
+    """``counts`` with the running sums of ``d_i`` before each time, at end times only."""
+    group = _group(by)
+    ranged = counts.withColumns({"_all": F.lit(0), "_range": F.floor(F.col("time") / span)})
+    totals = ranged.groupBy(*group, "_range").agg(*[F.sum(f"d_{i}").alias(f"d_{i}") for i in states])
+    # One row per range: what came in all ranges before.
+    rows = F.array_sort(F.collect_list(F.struct("_range", F.array(*[f"d_{i}" for i in states]).alias("d"))))
+    zero = F.array(*[F.lit(0).cast("long") for _ in states])
+    sums = F.aggregate(
+        "rows",
+        F.array(zero),
+        lambda acc, at: F.array_append(
+            acc, F.transform(F.element_at(acc, -1), lambda total, k: total + F.get(at["d"], k))
+        ),
+    )
+    before = totals.groupBy(*group).agg(rows.alias("rows")).select(
+        *group, F.inline(F.arrays_zip(F.col("rows._range").alias("_range"), F.slice(sums, 1, F.size("rows")).alias("_before")))
+    )
+    earlier = Window.partitionBy(*group, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    inside = {f"n_{i}": F.coalesce(F.sum(f"d_{i}").over(earlier), F.lit(0)) for i in states}
+    out = ranged.withColumns(inside).join(before, [*group, "_range"])
+    out = out.withColumns({f"n_{i}": F.col(f"n_{i}") + F.col("_before")[k] for k, i in enumerate(states)})
+    return out.filter(F.col("n_end") > 0).drop("_all", "_range", "_before", *[f"d_{i}" for i in states])
+
+
+def _group(by: Sequence[str]) -> list[str]:
+    """Grouping columns; ``_all`` is the same in every row."""
+    return list(by) or ["_all"]
 
 
 def _stack(columns: Sequence[Column]) -> Column:
@@ -89,28 +123,16 @@ def transition_counts(df: DataFrame, censor=0, states: Sequence = STATES, by: Se
     )
 
 
-def state_occupancy(
-    df: DataFrame,
-    states: Sequence = STATES,
-    censor=0,
-    origin: dt.date | None = None,
-    by: Sequence[str] = (),
-    start_at: str = "first_event",
-    decimals: int | None = None,
+def _paths(
+    df: DataFrame, states: Sequence, censor, by: Sequence[str], start_at: str, span: float
 ) -> DataFrame:
-    """Aalen-Johansen share of persons in each state over time.
-
-    Rows (time, state, n_risk, n_event, estimate) for every end time; ``n_event``
-    counts moves into the state. The curve starts from the shares among persons
-    at risk at the first event: the first end that is not censored, or with
-    ``start_at="first_transition"`` the first change of state. ``origin`` adds
-    ``date``, the calendar day of a day count.
-    """
+    """Per end time ``r`` (its row of counts) and ``p``, the shares after it in the order of ``states``."""
     if start_at not in ("first_event", "first_transition"):
         raise ValueError(f"unknown start_at {start_at!r}")
-    by, states = list(by), list(states)
+    group = _group(by)
     pairs = [(i, j) for i in states for j in states if i != j]
-    table = time_table(df, states, censor, by)
+    at = {state: k for k, state in enumerate(states)}
+    table = time_table(df, states, censor, by, span).withColumn("_all", F.lit(0))
 
     # h_i_j: chance of moving from i to j at this time.
     hazard = {
@@ -128,39 +150,83 @@ def state_occupancy(
     # Start shares: the risk set at the first time where the curve begins.
     total = reduce(lambda a, b: a + b, [F.col(f"n_{i}") for i in states])
     share = F.array(*[F.try_divide(F.col(f"n_{i}"), total) for i in states])
+    starts = table.groupBy(*group).agg(
+        F.min_by(F.when(begins, share), F.when(begins, F.col("time"))).alias("p0"),
+        # Nothing ever happens: shares at the last time.
+        F.max_by(share, "time").alias("p_last"),
+    ).select(*group, F.coalesce("p0", "p_last").alias("p0"))
+
     row = F.struct(
         "time",
         *[f"n_{i}" for i in states],
         *[f"into_{i}" for i in states],
         *[f"h_{i}_{j}" for i, j in pairs],
     )
-    ordered = table.groupBy(*by).agg(
-        F.array_sort(F.collect_list(row)).alias("rows"),
-        F.min_by(F.when(begins, share), F.when(begins, F.col("time"))).alias("p0"),
-        # Nothing ever happens: shares at the last time.
-        F.max_by(share, "time").alias("p_last"),
+    ranges = table.groupBy(*group, F.floor(F.col("time") / span).alias("_range")).agg(
+        F.array_sort(F.collect_list(row)).alias("rows")
     )
-    start = F.coalesce("p0", "p_last")
 
-    def step(p: Column, at: Column) -> Column:
+    def step(p: Column, now: Column, offset: int = 0) -> list[Column]:
         """Shares after one time: what stays plus what comes in."""
         out = []
-        for k, j in enumerate(states):
-            gain = [p[m] * at[f"h_{i}_{j}"] for m, i in enumerate(states) if i != j]
-            loss = [p[k] * at[f"h_{j}_{i}"] for i in states if i != j]
-            out.append(reduce(lambda a, b: a + b, [p[k], *gain]) - reduce(lambda a, b: a + b, loss))
-        return F.array(*out)
+        for j in states:
+            gain = [p[offset + at[i]] * now[f"h_{i}_{j}"] for i in states if i != j]
+            loss = [p[offset + at[j]] * now[f"h_{j}_{i}"] for i in states if i != j]
+            out.append(reduce(lambda a, b: a + b, [p[offset + at[j]], *gain]) - reduce(lambda a, b: a + b, loss))
+        return out
 
-    # Every time appends its shares; the last element is the current vector.
+    # The product of a range's matrices: a step on every unit vector at once.
+    size = len(states)
+    unit = F.array(*[F.lit(1.0 if k % (size + 1) == 0 else 0.0) for k in range(size * size)])
+    product = F.aggregate(
+        "rows", unit, lambda m, now: F.array(*[c for k in range(size) for c in step(m, now, k * size)])
+    )
+    # From range to range: one row per range, with the shares its first time starts from.
+    chain = ranges.select(*group, F.struct("_range", product.alias("m")).alias("x")).groupBy(*group).agg(
+        F.array_sort(F.collect_list("x")).alias("chain")
+    )
+    across = lambda p, m: F.array(
+        *[reduce(lambda a, b: a + b, [p[k] * m[k * size + j] for k in range(size)]) for j in range(size)]
+    )
+    begun = F.aggregate(
+        "chain", F.array(F.col("p0")), lambda acc, x: F.array_append(acc, across(F.element_at(acc, -1), x["m"]))
+    )
+    first = chain.join(starts, group).select(
+        *group,
+        F.inline(F.arrays_zip(F.col("chain._range").alias("_range"), F.slice(begun, 1, F.size("chain")).alias("p0"))),
+    )
     path = F.aggregate(
         "rows",
-        F.array(start),
-        lambda acc, at: F.array_append(acc, step(F.element_at(acc, -1), at)),
+        F.array(F.col("p0")),
+        lambda acc, now: F.array_append(acc, F.array(*step(F.element_at(acc, -1), now))),
     )
-    curve = ordered.select(
+    return ranges.join(first, [*group, "_range"]).select(
         *by,
         F.inline(F.arrays_zip(F.col("rows").alias("r"), F.slice(path, 2, F.size("rows")).alias("p"))),
     )
+
+
+def state_occupancy(
+    df: DataFrame,
+    states: Sequence = STATES,
+    censor=0,
+    origin: dt.date | None = None,
+    by: Sequence[str] = (),
+    start_at: str = "first_event",
+    decimals: int | None = None,
+    span: float = SPAN,
+) -> DataFrame:
+    """Aalen-Johansen share of persons in each state over time.
+
+    Rows (time, state, n_risk, n_event, estimate) for every end time; ``n_event``
+    counts moves into the state. The curve starts from the shares among persons
+    at risk at the first event: the first end that is not censored, or with
+    ``start_at="first_transition"`` the first change of state. ``origin`` adds
+    ``date``, the calendar day of a day count. ``span`` is the time that one task
+    folds at once.
+    """
+    by, states = list(by), list(states)
+    curve = _paths(df, states, censor, by, start_at, span)
     out = curve.select(
         *by,
         F.col("r.time").alias("time"),
@@ -181,14 +247,23 @@ def state_occupancy(
     return out
 
 
-def curve_wide(curve: DataFrame, states: Sequence = STATES, time: str = "time") -> DataFrame:
-    """One row per time: ``risk{state}`` and their running totals for stacking.
+def occupancy_wide(
+    df: DataFrame,
+    states: Sequence = STATES,
+    censor=0,
+    origin: dt.date | None = None,
+    by: Sequence[str] = (),
+    start_at: str = "first_event",
+    span: float = SPAN,
+) -> DataFrame:
+    """The curve with one row per time, as ``curve_wide`` has it, straight from the fold."""
+    by, states = list(by), list(states)
+    curve = _paths(df, states, censor, by, start_at, span)
+    time = F.col("r.time").alias("time") if origin is None else plus_days(F.lit(origin), F.col("r.time")).alias("date")
+    return _with_totals(curve.select(*by, time, *[F.col("p")[k].alias(f"risk{i}") for k, i in enumerate(states)]), states)
 
-    The totals of states 1, 2, 3 are ``no_multi``, ``multi``, ``death``; for other
-    states they are named after the last state they hold, ``upto{state}``.
-    """
-    wide = curve.groupBy(time).pivot("state", list(states)).agg(F.first("estimate"))
-    wide = wide.withColumnsRenamed({str(i): f"risk{i}" for i in states})
+
+def _with_totals(wide: DataFrame, states: Sequence) -> DataFrame:
     standard = list(states) == list(STATES)
     names = ["no_multi", "multi", "death"] if standard else [f"upto{i}" for i in states]
     return wide.withColumns(
@@ -197,3 +272,14 @@ def curve_wide(curve: DataFrame, states: Sequence = STATES, time: str = "time")
             for k, name in enumerate(names)
         }
     )
+
+
+def curve_wide(curve: DataFrame, states: Sequence = STATES, time: str = "time") -> DataFrame:
+    """One row per time: ``risk{state}`` and their running totals for stacking.
+
+    The totals of states 1, 2, 3 are ``no_multi``, ``multi``, ``death``; for other
+    states they are named after the last state they hold, ``upto{state}``.
+    """
+    wide = curve.groupBy(time).pivot("state", list(states)).agg(F.first("estimate"))
+    wide = wide.withColumnsRenamed({str(i): f"risk{i}" for i in states})
+    return _with_totals(wide, states)
