@@ -8,6 +8,7 @@ from panelspark.catalog.book import query, step
 from panelspark.functions import look_up, null_if, parse_year
 from panelspark.operators import registry as reg
 from panelspark.operators.keys import join_on
+from panelspark.plans import registry as rules_
 from panelspark.sources import views
 
 SITES = {"LARGE": "Lung", "SMALL": "Colon", "MEDIUM": "Breast", "PROMO": "Prostate"}
@@ -224,3 +225,60 @@ def with_event(rows, spark, sf_dir):
     dated = reg.dated_records(views.registry(spark, sf_dir), "dx_date").select("id", "dx_date")
     joined = join_on(rows, reg.first_event(dated, "dx_date"), "id")
     return joined.withColumn("event", reg.on_or_before("dx_date", "visdate")).drop("dx_date")
+
+
+# Every cancer type of the real rules in turn, every stage in turn, treatments by the record's numbers.
+KINDS = sorted({k for _, kinds in rules_.STANDARD_CARE for k in kinds} | {*rules_.BLOOD_CANCERS, *rules_.SITES} | {"otherilldefined", "othfemgen"})
+STAGES = ["localized", "regional", "distant", "unknown", "benign", "local", "in situ"]
+GIVEN = {"surg": 2, "rad": 3, "chemo": 5}
+
+
+def _care_sql() -> str:
+    def received(care) -> str:
+        parts = [f"yr_{t} IS NOT NULL" for t in care.all_of]
+        if care.any_of:
+            parts.append("(" + " OR ".join(f"yr_{t} IS NOT NULL" for t in care.any_of) + ")")
+        return " AND ".join(parts) or "TRUE"
+
+    def names(kinds) -> str:
+        return ", ".join(f"'{k}'" for k in kinds)
+
+    rows = [
+        f"WHEN cancer_type IN ({names(rules_.BLOOD_CANCERS)}) AND yr_chemo IS NOT NULL THEN 1",
+        "WHEN cancer_type = 'otherilldefined' OR stage = 'unknown' THEN NULL",
+        "WHEN stage = 'distant' THEN 0",
+        "WHEN stage = 'benign' THEN 1",
+        *[f"WHEN cancer_type IN ({names(kinds)}) AND {received(care)} THEN 1" for care, kinds in rules_.STANDARD_CARE],
+        *[
+            f"WHEN cancer_type = '{kind}' AND stage = '{stage}' AND {received(care)} THEN 1"
+            for kind, stage, care in rules_.STAGED_CARE
+        ],
+    ]
+    sites = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in rules_.SITES.items())
+    pick = lambda values, key: f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+    return f"""
+SELECT rec, ln, cancer_type, stage, CASE {' '.join(rows)} ELSE 0 END AS std_trt,
+       CASE WHEN cancer_type IN ({names(rules_.WITHOUT_SITE)}) THEN '{rules_.NO_SITE}'
+            ELSE CASE cancer_type {sites} END END AS site
+FROM (SELECT l_orderkey AS rec, l_linenumber AS ln,
+             {pick(KINDS, f"(l_orderkey + l_linenumber) % {len(KINDS)}")} AS cancer_type,
+             {pick(STAGES, f"l_partkey % {len(STAGES)}")} AS stage,
+             {', '.join(f"CASE WHEN l_suppkey % {m} <> 0 THEN 2000 END AS yr_{t}" for t, m in GIVEN.items())}
+      FROM lineitem) r"""
+
+
+@query("care_rules", _care_sql())
+def care_rules(spark, sf_dir):
+    """The real rule and site tables on records that run through all of their names."""
+    def pick(values, key):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+
+    lines = views.table(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        F.col("l_orderkey").alias("rec"),
+        F.col("l_linenumber").alias("ln"),
+        pick(KINDS, F.col("l_orderkey") + F.col("l_linenumber")).alias("cancer_type"),
+        pick(STAGES, F.col("l_partkey")).alias("stage"),
+        *[F.when(F.col("l_suppkey") % m != 0, F.lit(2000)).alias(f"yr_{t}") for t, m in GIVEN.items()],
+    )
+    return rows.select("rec", "ln", "cancer_type", "stage", rules_.standard_care().alias("std_trt"), rules_.site_of().alias("site"))

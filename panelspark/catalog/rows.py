@@ -15,8 +15,9 @@ from panelspark.functions import (
     strict_if,
 )
 from panelspark.operators.keys import bind_rows, join_on, over_columns
-from panelspark.plans.intake import PERIOD_BREAKS, PERIODS
+from panelspark.plans.intake import DOMAINS, PERIOD_BREAKS, PERIODS, domain_table, enriched_visits
 from panelspark.sources import views
+from panelspark.sources.tables import RAW_SCHEMAS
 
 @query(
     "period_bins",
@@ -197,3 +198,50 @@ def disease_flags(spark, sf_dir):
     return views.visits(spark, sf_dir).select(
         "id", "visit", *[as_flag(test).alias(name) for name, test in tests.items()]
     )
+
+
+def _domain_sql(name: str) -> str:
+    """Keys and columns of a domain, by the rule of ``views.study_visits``."""
+    fields = {f.name: (j, f.dataType.simpleString()) for j, f in enumerate(RAW_SCHEMAS["visit_raw"])}
+    cells = []
+    for c in DOMAINS[name].split():
+        j, kind = fields[c]
+        value = f"(o_orderkey + {j}) % 97 / 2e0" if kind == "double" else f"CAST((o_orderkey + {j}) % 2 AS INT)"
+        cells.append(f"CASE WHEN (o_orderkey + {j}) % 5 <> 0 THEN {value} END AS {c}")
+    bins = " ".join(
+        f"WHEN yr > {low} AND yr <= {high} THEN '{label}'"
+        for low, high, label in zip(PERIOD_BREAKS, PERIOD_BREAKS[1:], PERIODS)
+    )
+    return f"""
+SELECT o_custkey AS id, CAST(o_orderkey AS INT) AS visit, CAST(o_orderdate AS DATE) AS visdate,
+       CASE {bins} END AS enroll_period, {', '.join(cells)}
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS rn
+      FROM orders) o
+LEFT JOIN (SELECT c_custkey, year(DATE '1988-01-01' + CAST(c_custkey % 11000 AS INT)) AS yr FROM customer) c
+ON o_custkey = c_custkey
+WHERE rn = 1"""
+
+
+def _domain(spark, sf_dir, name):
+    return domain_table(enriched_visits(views.study_visits(spark, sf_dir), views.enrolment(spark, sf_dir)), name)
+
+
+@query("domain_mental", _domain_sql("mental"))
+def domain_mental(spark, sf_dir):
+    return _domain(spark, sf_dir, "mental")
+
+
+@query("domain_hiv", _domain_sql("hiv"))
+def domain_hiv(spark, sf_dir):
+    return _domain(spark, sf_dir, "hiv")
+
+
+@query(
+    "domain_base",
+    f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY visdate, visit) AS k FROM ({_domain_sql("base")}) d) f
+WHERE k = 1""",
+)
+def domain_base(spark, sf_dir):
+    return _domain(spark, sf_dir, "base")

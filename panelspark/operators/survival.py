@@ -150,12 +150,6 @@ def _paths(
     # Start shares: the risk set at the first time where the curve begins.
     total = reduce(lambda a, b: a + b, [F.col(f"n_{i}") for i in states])
     share = F.array(*[F.try_divide(F.col(f"n_{i}"), total) for i in states])
-    starts = table.groupBy(*group).agg(
-        F.min_by(F.when(begins, share), F.when(begins, F.col("time"))).alias("p0"),
-        # Nothing ever happens: shares at the last time.
-        F.max_by(share, "time").alias("p_last"),
-    ).select(*group, F.coalesce("p0", "p_last").alias("p0"))
-
     row = F.struct(
         "time",
         *[f"n_{i}" for i in states],
@@ -163,7 +157,9 @@ def _paths(
         *[f"h_{i}_{j}" for i, j in pairs],
     )
     ranges = table.groupBy(*group, F.floor(F.col("time") / span).alias("_range")).agg(
-        F.array_sort(F.collect_list(row)).alias("rows")
+        F.array_sort(F.collect_list(row)).alias("rows"),
+        F.min_by(F.when(begins, share), F.when(begins, F.col("time"))).alias("begun"),
+        F.max_by(share, "time").alias("last"),
     )
 
     def step(p: Column, now: Column, offset: int = 0) -> list[Column]:
@@ -182,16 +178,20 @@ def _paths(
         "rows", unit, lambda m, now: F.array(*[c for k in range(size) for c in step(m, now, k * size)])
     )
     # From range to range: one row per range, with the shares its first time starts from.
-    chain = ranges.select(*group, F.struct("_range", product.alias("m")).alias("x")).groupBy(*group).agg(
+    chain = ranges.select(*group, F.struct("_range", product.alias("m"), "begun", "last").alias("x")).groupBy(*group).agg(
         F.array_sort(F.collect_list("x")).alias("chain")
     )
+    # Nothing ever happens: shares at the last time.
+    start = F.coalesce(
+        F.get(F.filter("chain", lambda x: x["begun"].isNotNull()), F.lit(0))["begun"], F.element_at("chain", -1)["last"]
+    )
     across = lambda p, m: F.array(
         *[reduce(lambda a, b: a + b, [p[k] * m[k * size + j] for k in range(size)]) for j in range(size)]
     )
     begun = F.aggregate(
-        "chain", F.array(F.col("p0")), lambda acc, x: F.array_append(acc, across(F.element_at(acc, -1), x["m"]))
+        "chain", F.array(start), lambda acc, x: F.array_append(acc, across(F.element_at(acc, -1), x["m"]))
     )
-    first = chain.join(starts, group).select(
+    first = chain.select(
         *group,
         F.inline(F.arrays_zip(F.col("chain._range").alias("_range"), F.slice(begun, 1, F.size("chain")).alias("p0"))),
     )

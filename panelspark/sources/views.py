@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import year_range
 from panelspark.operators.keys import collapse
+from panelspark.sources.tables import RAW_SCHEMAS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,3 +119,33 @@ def prognosis(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("p_type").alias("site"), stage.alias("stage"))
         .agg(F.avg(F.col("p_size") / F.lit(50.0)).alias("survival"), F.count("*").alias("n"))
     )
+
+
+def study_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw study visits with every declared column, one row per order; values by rule.
+
+    Column j holds (order + j) % 2, and nothing where (order + j) % 5 is 0; numbers are
+    (order + j) % 97 / 2.
+    """
+    key = F.col("o_orderkey")
+    columns = []
+    for j, field in enumerate(RAW_SCHEMAS["visit_raw"]):
+        if field.name == "id":
+            value = F.col("o_custkey")
+        elif field.name == "visit":
+            value = key
+        elif field.name == "visdate":
+            value = F.col("o_orderdate")
+        elif field.dataType.simpleString() == "double":
+            value = F.when((key + j) % 5 != 0, (key + j) % 97 / 2)
+        else:
+            value = F.when((key + j) % 5 != 0, (key + j) % 2)
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return table(spark, sf_dir, "orders").select(*columns)
+
+
+def enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per person with the day of enrolment."""
+    key = F.col("c_custkey")
+    day = F.date_add(F.lit("1988-01-01").cast("date"), (key % 11000).cast("int"))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), day.alias("basdate"))

@@ -46,8 +46,8 @@ def test_episodes_take_one_shuffle_after_the_day_grain(spark, no_broadcast):
 
 def test_whole_follow_up_shares_one_placement_by_person(spark, no_broadcast):
     found = keys(contract.queries()["initial_state"](spark, SF_DIR))
-    # Visits, first registry date per person, deaths; then the day grain and the registry join.
-    assert sorted(found) == ["id", "id", "id", "id, visdate", "l_partkey", "p_partkey"]
+    # Visits, first registry date per person, deaths; then the day grain and the registry joins.
+    assert sorted(found) == ["id", "id", "id", "id, visdate", "l_orderkey", "l_partkey", "o_orderkey", "p_partkey"]
 
 
 def test_joins_on_person_and_date_reuse_the_person_placement(spark, no_broadcast):

@@ -7,7 +7,7 @@ from study_data import raw_tables
 
 from panelspark.plans import imputation, study
 from panelspark.plans.combine import COUNTED, SIDES, combine
-from panelspark.plans.intake import DOMAINS, KEYS, domain_tables, enriched_visits
+from panelspark.plans.intake import DOMAINS, KEYS, domain_tables, enriched_visits, same_day_visits
 from panelspark.plans.trajectories import state_curve
 
 FAST = dict(trees=2, max_sweeps=1, max_depth=3)
@@ -32,6 +32,21 @@ def test_domain_tables(raw):
     assert tables["socdem"].count() == raw["visit_raw"].count()
 
 
+def test_same_day_rows_are_reported(raw):
+    again = raw["visit_raw"].limit(3).withColumn("visit", F.lit(0))
+    both = raw["visit_raw"].unionByName(again)
+    left_out = same_day_visits(both)
+    assert left_out.agg(F.sum("n_left_out")).first()[0] == 3
+    kept = enriched_visits(both, raw["enroll_raw"])
+    assert kept.count() == raw["visit_raw"].count() and kept.filter("visit = 0").count() == 3
+
+
+def test_covariates_are_grown_not_filled_by_their_mean(out):
+    """Imputed covariates of a condition's model follow the person, which one mode cannot."""
+    filled = out["use"].select("id", "age", "work")
+    assert filled.select("age").distinct().count() > 5 and filled.select("work").distinct().count() == 2
+
+
 def test_double_enrolment_is_an_error(raw):
     with pytest.raises(ValueError):
         enriched_visits(raw["visit_raw"], raw["enroll_raw"].unionByName(raw["enroll_raw"]))
