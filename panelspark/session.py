@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +65,17 @@ def drop_cut(df: DataFrame) -> None:
     if file.isDefined():
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_path(jvm, jsc, path: str) -> None:
+    """Delete a file or folder wherever it is stored; nothing happens once the JVM is gone."""
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the gateway may be gone at exit
+        pass
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the session's Python side ends."""
+    weakref.finalize(spark, remove_path, spark._jvm, spark._jsc, path)

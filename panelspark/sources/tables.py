@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.session import ensure_checkpoint_dir
+from panelspark.session import ensure_checkpoint_dir, remove_at_end
 
 # Column types of the raw tables a study starts from. Flags are 0 / 1 / missing.
 VISIT_COLUMNS = {
@@ -158,11 +158,13 @@ def stage(
 def settle(df: DataFrame, name: str, order=("id", "visdate")) -> DataFrame:
     """Write a table that several branches of one plan read, into the checkpoint folder.
 
+    The copy is removed when the session ends.
     Where the catalog lives in the session the copy is bucketed by its first
     ``order`` column, so the branches meet again without a shuffle.
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
     local_catalog = spark.conf.get("spark.sql.catalogImplementation") == "in-memory"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if local_catalog else None
     return stage(df, folder, name, order, buckets)
