@@ -267,22 +267,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     out = mix(docs, carry=tuple(c for c in names if c != "doc_id"), made="__")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    part = F.array_join(
-        F.flatten(
-            F.transform(
-                F.col("__blocks"),
-                lambda b: F.slice(F.col("__words"), (b["from"] + 1).cast("int"), (b["to"] - b["from"]).cast("int")),
-            )
-        ),
-        " ",
-    )
     some = F.size("__blocks") > 0
-    copies = out.withColumn("__words", F.when(some, words)).withColumn(
+
+    def chosen(words: Column) -> Column:
+        cut = lambda b: F.slice(words, (b["from"] + 1).cast("int"), (b["to"] - b["from"]).cast("int"))
+        return F.array_join(F.flatten(F.transform(F.col("__blocks"), cut)), " ")
+
+    # The words are bound to a variable: taken once per row, not once per block.
+    parts = F.transform(F.array(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))), chosen)
+    copies = out.withColumn(
         "__texts",
         F.concat(
             F.array_repeat(F.col("text"), F.when(F.col("__size") > 0, F.col("__passes").cast("int")).otherwise(0)),
-            F.when(some, F.array(part)).otherwise(F.array().cast("array<string>")),
+            F.when(some, parts).otherwise(F.array().cast("array<string>")),
         ),
     )
     out = copies.withColumn("text", F.explode("__texts"))
