@@ -33,12 +33,12 @@ def test_domain_tables(raw):
 
 
 def test_same_day_rows_are_reported(raw):
-    again = raw["visit_raw"].limit(3).withColumn("visit", F.lit(0))
+    again = raw["visit_raw"].limit(3).withColumn("visit", F.lit(-1))
     both = raw["visit_raw"].unionByName(again)
     left_out = same_day_visits(both)
     assert left_out.agg(F.sum("n_left_out")).first()[0] == 3
     kept = enriched_visits(both, raw["enroll_raw"])
-    assert kept.count() == raw["visit_raw"].count() and kept.filter("visit = 0").count() == 3
+    assert kept.count() == raw["visit_raw"].count() and kept.filter("visit = -1").count() == 3
 
 
 def test_covariates_are_grown_not_filled_by_their_mean(out):
