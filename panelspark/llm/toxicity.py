@@ -44,14 +44,14 @@ _BANG = np.zeros(256, bool)
 _BANG[ord("!")] = True
 
 
-def beginnings(words: Words) -> np.ndarray:
-    """Hash of each word's beginning for each of ``KINDS`` (rows); 0 where too short.
+def beginnings(words: Words, kinds: tuple[int, ...] = KINDS) -> np.ndarray:
+    """Hash of each word's beginning for each of ``kinds`` (rows); 0 where too short.
 
     A-Z are lower-cased and punctuation around the word is left out.
     """
     start, end = words.start.copy(), words.end.copy()
     if not len(start):
-        return np.zeros((len(KINDS), 0), np.uint64)
+        return np.zeros((len(kinds), 0), np.uint64)
     for _ in range(4):
         end -= (end > start) & _TAIL[words.data[np.maximum(end - 1, 0)]]
         start += (start < end) & _TAIL[words.data[np.minimum(start, len(words.data) - 1)]]
@@ -60,8 +60,8 @@ def beginnings(words: Words) -> np.ndarray:
     sums = np.zeros(len(words.data) + 1, np.uint64)
     np.cumsum(code[words.data] * up[: len(words.data)], out=sums[1:])
     size = end - start
-    out = np.zeros((len(KINDS), len(start)), np.uint64)
-    for row, length in enumerate(KINDS):
+    out = np.zeros((len(kinds), len(start)), np.uint64)
+    for row, length in enumerate(kinds):
         stop = end if length == 0 else np.minimum(start + length, end)
         code_ = mix((sums[stop] - sums[start]) * down[np.minimum(start, len(words.data) - 1)] + np.uint64((length * 7 + 3) * int(BASE) & _ALL))
         out[row] = np.where((size >= max(length, 2)) & (code_ != 0), code_, 0)
@@ -95,26 +95,27 @@ def learn_lists(rows: list[tuple[int, str, int]]) -> list[tuple[np.ndarray, np.n
     An entry is associated with the label by the rows that have it at all, or by
     those where it makes ``DENSITIES[0]`` of the words.
     """
-    found: list[list[tuple]] = [[] for _ in KINDS]
-    at = 0
     marks = np.array([y for _, _, y in rows], np.int64)
-    for words in chunks(pa.array([t for _, t, _ in rows], pa.string())):
-        owner = words.owner()
-        for row, kind in zip(beginnings(words), found):
+    toxic, clean = float((marks == 1).sum()), float((marks == 0).sum())
+    texts = pa.array([t for _, t, _ in rows], pa.string())
+    out = []
+    for kind in KINDS:  # one at a time: the driver holds the entries of one list
+        found, at = [], 0
+        for words in chunks(texts):
+            owner, row = words.owner(), beginnings(words, (kind,))[0]
             seen = np.flatnonzero(row)
             order = seen[np.lexsort((row[seen], owner[seen]))]
             text, code = owner[order], row[order]
             first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else order
             count = np.diff(np.r_[first, len(code)])
-            kind.append((code[first], marks[at + text[first]], count >= DENSITIES[0] * words.counts[text[first]]))
-        at += words.texts
-    toxic, clean = float((marks == 1).sum()), float((marks == 0).sum())
-    out = []
-    for kind in found:
-        if not kind:
+            dense = count >= DENSITIES[0] * words.counts[text[first]]
+            found.append((code[first], marks[at + text[first]].astype(np.int8), dense))
+            at += words.texts
+        if not found:
             out.append((np.zeros(0, np.uint64), np.zeros(0)))
             continue
-        code, label, dense = (np.concatenate(x) for x in zip(*kind))
+        code, label, dense = (np.concatenate(x) for x in zip(*found))
+        del found
         each, inverse = np.unique(code, return_inverse=True)
         keep, best = np.zeros(len(each), bool), np.zeros(len(each))
         for use in (np.ones(len(code), bool), dense):
