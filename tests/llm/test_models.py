@@ -207,3 +207,25 @@ def test_sample_collision_rate_is_generalised_jaccard(spark):
         hits += sum(one[k : k + 8] == two[k : k + 8] for k in range(0, len(one), 8))
         total += fingerprints.SAMPLES
     assert abs(hits / total - jaccard(a, b)) < 0.04
+
+
+def test_scored_subwords_see_half_a_window_before_them():
+    counts = np.array([1, 31, 32, 33, 48, 49, 500, 0, 77])
+    place, scored, first = windows_of(counts)
+    assert all(np.flatnonzero(own)[0] >= WINDOW // 2 for own in scored[~first])
+    # Scoring the last places alone gives what whole windows give.
+    rng = np.random.default_rng(3)
+    model = Attention.start(np.arange(200) % 128, rng.integers(1, 50, 200).astype(float), np.ones((128, 128)))
+    targets = rng.integers(0, 200, counts.sum())
+    begin = (np.cumsum(counts) - counts)[counts > 0]
+    lm_start, lm_scoring.START = lm_scoring.START, 7
+    try:
+        got = lm_scoring.spelled_log_probs(model, model.tables(), targets, counts, batch=4)
+    finally:
+        lm_scoring.START = lm_start
+    inputs = np.r_[0, targets[:-1]]
+    inputs[begin] = 7
+    whole = model.log_probs(inputs[place], targets[place], model.tables())
+    want = np.zeros(len(targets))
+    want[place[scored]] = whole[scored]
+    assert np.allclose(got, want / np.log(10), atol=1e-5)
