@@ -229,3 +229,16 @@ def test_scored_subwords_see_half_a_window_before_them():
     want = np.zeros(len(targets))
     want[place[scored]] = whole[scored]
     assert np.allclose(got, want / np.log(10), atol=1e-5)
+
+
+def test_training_covers_every_text(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 900, size)) for size in (3000, 40, 1, 700)] + ["", None, "Über  straße\tx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    model = lm_scoring.train(docs, 20_000, lm_scoring.Scratch(spark, "lm"))
+    counts = np.zeros(lm_scoring.IDS + 2)
+    for text in texts:
+        ids, _ = lm_scoring.subwords(words(lower(text)), lm_scoring.TOKENIZER)
+        np.add.at(counts, np.r_[ids, lm_scoring.END], 1)
+    share = (counts + 0.1) / np.bincount(model.cls, weights=counts + 0.1)[model.cls]
+    assert np.allclose(np.exp(model.inside), share, rtol=1e-4)
