@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of equal capacity.
 
-Documents longer than a bin are cut into full pieces and a rest. Pieces are dealt to
-shards of a bounded number of rows by a hash, and every shard is packed on its own:
+Documents longer than a bin are cut into full pieces and a rest. Pieces are dealt by a
+hash to as many shards as their number asks for, and every shard is packed on its own:
 largest first, bins in order of what they have left. The search starts at the
 tightest bin that has room and goes on to its successors until one is compatible:
 its bitmap of duplicate clusters lacks the piece's, and its source has not yet come
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.mixing import n_words
-from panelspark.llm.scratch import parts_for, ship
+from panelspark.llm.scratch import Scratch, parts_for
 
 CAPACITY = 2048  # words
 PER_SOURCE = 2
@@ -59,7 +59,7 @@ def _codes(column: pa.ChunkedArray) -> list[int]:
     return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist()
 
 
-def _pack(capacity: int, per_source: int):
+def _pack(capacity: int, per_source: int, shards: int):
     schema = pa.schema(
         [("id", pa.int64()), ("piece", pa.int64()), ("size", pa.int64()), ("bin_id", pa.int64()), ("bin_size", pa.int64())]
     )
@@ -75,7 +75,7 @@ def _pack(capacity: int, per_source: int):
         filled = np.bincount(bins, weights=np.array(sizes), minlength=len(bins)).astype(np.int64)
         shard = np.int64(rows.column("shard")[0].as_py())
         return pa.table(
-            [rows.column("id"), rows.column("piece"), rows.column("size"), pa.array(shard * SHARD_ROWS * 4 + bins), pa.array(filled[bins])],
+            [rows.column("id"), rows.column("piece"), rows.column("size"), pa.array(bins * shards + shard), pa.array(filled[bins])],
             schema=schema,
         )
 
@@ -94,12 +94,15 @@ def pack(
     one cluster). Texts without words are one piece of size 0 with a null bin. Ids may
     be null or repeat. The same rows give the same bins.
     """
-    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("total"), cluster.cast("long").alias("cluster"),
     )
-    shards = parts_for(docs.count(), shard_rows)
+    # Counting words is the work here, so their numbers are kept for the pieces.
+    rows = scratch.write(rows, "sizes")
+    count = rows.agg(F.sum(F.ceil(F.col("total") / capacity))).first()[0] or 0
+    shards = parts_for(count, shard_rows)
     pieces = rows.withColumn(
         "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / capacity))))
     ).withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity))
@@ -110,7 +113,7 @@ def pack(
         F.pmod(F.xxhash64("id", "piece", "cluster"), F.lit(shards)).alias("shard"), "id", "piece", "size", "source", "cluster"
     )
     packed = dealt.groupBy("shard").applyInArrow(
-        _pack(capacity, per_source), "id long, piece long, size long, bin_id long, bin_size long"
+        _pack(capacity, per_source, shards), "id long, piece long, size long, bin_id long, bin_size long"
     )
     return packed.unionByName(empty).withColumnRenamed("id", id_col)
 

@@ -120,3 +120,13 @@ def test_bins_hold_their_rules(table, request):
 
 def test_packing_nothing(nothing):
     assert packing.pack(nothing, F.col("doc_id")).collect() == []
+
+
+def test_bins_of_long_texts_keep_their_own_ids(spark):
+    text = " ".join(["w"] * 100)  # 50 bins
+    docs = spark.createDataFrame([(i, text, f"s{i}") for i in range(600)], "doc_id long, text string, source string")
+    rows = packing.pack(docs, F.col("doc_id"), capacity=2, shard_rows=256).collect()
+    assert len(rows) == 30_000
+    # Full pieces: every one has its bin.
+    assert len({r.bin_id for r in rows}) == len(rows)
+    assert all(r.size == r.bin_size == 2 for r in rows)
