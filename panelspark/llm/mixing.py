@@ -5,6 +5,10 @@ the quotient t / (2k - 1), and the highest quotients win. A source's blocks are
 shared among its shards in the same way by their words, which gives every shard a
 whole quota that it fills on its own, by a seeded choice among its blocks. Nothing
 but the per-shard sums crosses shards. Built-in functions only.
+
+Where shards would hold a few words each, rounding them to blocks would miss the
+target: such a thin source has fewer, larger shards, which fill their quota in words.
+The SQL twin has no thin sources and equals the mix where no source is thin.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BLOCK = 16  # words
 SHARDS = 1024  # per source
+THIN = 12 * BLOCK  # a source with fewer words per shard is thin
+THIN_SHARD = 16_000  # words of a shard of a thin source
 REPEATS = 3  # a target stops at so many times its source's size
 SEED = "mix-1"
 
@@ -145,27 +151,50 @@ def mix(
         rows.groupBy(F.col("__source").alias("source"), F.col("__shard").alias("shard")).agg(F.sum("size").alias("shard_size")),
         "shards",
     )
-    sources = _targets(shards.groupBy("source").agg(F.sum("shard_size").alias("source_size")))
+    sources = _targets(
+        shards.groupBy("source").agg(
+            F.sum("shard_size").alias("source_size"), F.sum((F.col("shard_size") > 0).cast("long")).alias("__full")
+        )
+    )
+    sources = sources.withColumn("thin", F.col("source_size") < THIN * F.col("__full")).withColumn(
+        "__shards", F.when(F.col("thin"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / THIN_SHARD))).otherwise(SHARDS)
+    )
     every = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("__total", F.floor(F.sum("source_size").over(every) / BLOCK))
     sources = apportion(sources, "target", "__total", [], ["source"], "source_blocks")
-    quotas = (
+    # A shard of a thin source is a cell of several; any other is its own cell.
+    cells = (
         shards.alias("x")
         .join(sources.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")))
-        .select("x.*", "y.source_size", "y.target", "y.source_blocks")
+        .select("x.*", (F.col("x.shard") % F.col("y.__shards")).alias("cell"), "y.source_size", "y.target", "y.source_blocks", "y.thin")
     )
-    quotas = apportion(quotas, "shard_size", "source_blocks", ["source"], ["shard"], "quota")
-    n_blocks = F.greatest(F.lit(1).cast("long"), F.floor(F.col("shard_size") / BLOCK + 0.5))
+    quotas = cells.groupBy("source", "cell", "source_size", "target", "source_blocks", "thin").agg(F.sum("shard_size").alias("cell_size"))
+    quotas = apportion(quotas, "cell_size", "source_blocks", ["source"], ["cell"], "quota")
+    n_blocks = F.greatest(F.lit(1).cast("long"), F.floor(F.col("cell_size") / BLOCK + 0.5))
     quotas = quotas.withColumn("n_blocks", n_blocks).withColumns(
         {
             "quota": F.least(F.col("quota"), REPEATS * F.col("n_blocks")),
-            "shift": _number(F.concat_ws("/", F.lit(SEED), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), 17),
+            "shift": _number(F.concat_ws("/", F.lit(SEED), F.coalesce("source", F.lit("")), F.col("cell").cast("string")), 17),
+            "__words": F.col("quota") * BLOCK,
         }
     )
+    # Whole copies and blocks taken once more; thin sources count the words of a copy.
+    whole = F.least(F.lit(REPEATS).cast("long"), F.floor(F.col("__words") / F.col("cell_size")))
+    rest = F.floor((F.col("__words") - F.col("whole") * F.col("cell_size")) / BLOCK + 0.5)
+    by_words = F.col("thin") & (F.col("cell_size") > 0)
+    quotas = quotas.withColumn("whole", F.when(by_words, whole).otherwise(F.floor(F.col("quota") / F.col("n_blocks")))).withColumn(
+        "more", F.when(by_words, F.when(F.col("whole") < REPEATS, F.least(rest, F.col("n_blocks"))).otherwise(0)).otherwise(F.col("quota") % F.col("n_blocks"))
+    )
+    quotas = (
+        cells.select("source", "shard", "cell").alias("x")
+        .join(quotas.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.cell") == F.col("y.cell")))
+        .select("x.*", "y.source_size", "y.target", "y.n_blocks", "y.shift", "y.whole", "y.more")
+    )
     quotas = scratch.write(quotas, "quotas")
     key = F.md5(F.concat(F.lit(SEED + "/"), F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary"))
     stream = (
-        Window.partitionBy("source", "shard")
+        # Rows without words take no part, and stay in their own shard.
+        Window.partitionBy("source", F.when(F.col("size") > 0, F.col("cell")).otherwise(-1 - F.col("shard")))
         .orderBy(F.substring(key, 9, 16), F.col("__id"), F.col("size"), F.col("__text"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -173,13 +202,13 @@ def mix(
         rows.join(quotas, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__shard") == F.col("shard")))
         .withColumn("__at", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     )
-    n, q = F.col("n_blocks"), F.col("quota")
+    n, more = F.col("n_blocks"), F.col("more")
     end = F.col("__at") + F.col("size")
     first = F.least(n - 1, F.floor(F.col("__at") / BLOCK))
     last = F.least(n - 1, F.floor((end - 1) / BLOCK))
     won = F.filter(
         F.sequence(first, last),
-        lambda b: (b % n * (_step(n) % n) + F.col("shift")) % n < q % n,
+        lambda b: (b % n * (_step(n) % n) + F.col("shift")) % n < more,
     )
     # Words of a block within the document, counted from its first word.
     ranges = F.transform(
@@ -189,7 +218,7 @@ def mix(
             (F.least(F.when(b == n - 1, end).otherwise((b + 1) * BLOCK), end) - F.col("__at")).alias("to"),
         ),
     )
-    placed = placed.withColumn("passes", F.floor(q / n)).withColumn(
+    placed = placed.withColumn("passes", F.col("whole")).withColumn(
         "blocks",
         F.when(F.col("size") > 0, ranges).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")),
     )

@@ -130,3 +130,19 @@ def test_bins_of_long_texts_keep_their_own_ids(spark):
     # Full pieces: every one has its bin.
     assert len({r.bin_id for r in rows}) == len(rows)
     assert all(r.size == r.bin_size == 2 for r in rows)
+
+
+@pytest.mark.parametrize("size", [5, 7, 10, 20, 23])
+def test_mix_meets_targets_of_small_sources(spark, size):
+    rows = [(f"{s}{i}", s, " ".join(["w"] * size)) for s in "abc" for i in range(300)]
+    rows += [("long", "d", " ".join(["w"] * 9000)), ("one", "e", " ".join(["w"] * size)), *[(f"n{i}", "f", "") for i in range(40)]]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id string, source string, text string"), carry=("source",)).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+        assert r.taken == r.passes * r.size + sum(b["to"] - b["from"] for b in r.blocks)
+    assert len(out) == len(rows)
+    for source, goal in target.items():
+        assert abs(taken[source] - goal) <= 0.03 * goal + mixing.BLOCK
