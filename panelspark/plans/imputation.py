@@ -145,7 +145,8 @@ def impute_wide(
     """
     measures = [*numbers, *flags, YEAR]
     packed = with_person(pack_visits(rows, measures), persons)
-    matrix = widen(packed, measures, visit_numbers(rows), ["id", *PERSON], dense=True)
+    # A cell is looked up by its number: the rows may begin with a later visit than the first.
+    matrix = widen(packed, measures, visit_numbers(rows), ["id", *PERSON])
     cells = {m: [c for c in matrix.columns if c.startswith(f"{m}_") and c[len(m) + 1:].isdigit()] for m in measures}
     kept = list(outputs) if outputs else [*numbers, *flags]
     filled = forest_impute(

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from checks import rows
 from pyspark.sql import functions as F
 
 from panelspark import functions as fn

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from checks import rows
 from pyspark.sql import functions as F
 
 from panelspark.operators import registry as reg

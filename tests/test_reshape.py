@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from checks import rows
 
 from panelspark.operators import reshape
 

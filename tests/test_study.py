@@ -1,7 +1,7 @@
 """The whole study on raw tables built by rule."""
 
 import pytest
-from conftest import rows
+from checks import rows
 from pyspark.sql import functions as F
 from study_data import raw_tables
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from checks import rows
 from pyspark.sql import functions as F
 
 from panelspark.operators import survival
