@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import (
+    centroids,
     fingerprints,
     language_id,
     lm_scoring,
@@ -134,3 +135,12 @@ reach(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FRO
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id
 JOIN (SELECT id, min(m) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id"""
+
+
+@_query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and exact squared distance of every whole vector."""
+    return centroids.with_totals(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op13_centroids"] = centroids.oracle()
