@@ -39,7 +39,7 @@ def plain(rows, clusters, rounds, scale=64.0):
 def rows():
     draw = random.Random(3)
     out = [(i, [draw.uniform(-2, 2) + 3 * (i % 4) for _ in range(SIZE)]) for i in range(200)]
-    out += [(7, out[7][1]), (7, [0.0] * SIZE), (None, [1.0] * SIZE), (None, [1.0] * SIZE), (300, [5000.0, -9e5, 0, 1, 2])]
+    out += [(7, out[7][1]), (7, [0.0] * SIZE), (None, [1.0] * SIZE), (None, [1.0] * SIZE), (300, [5000.0, -9e5, 0.0, 1.0, 2.0])]
     out += [(400, None), (401, []), (402, [1.0] * 4), (403, [1.0] * 6), (404, [None, 1.0, 1.0, 1.0, 1.0])]
     return out + [(405, [math.nan] + [1.0] * 4), (406, [math.inf] + [1.0] * 4), (407, [-math.inf] * SIZE)]
 
