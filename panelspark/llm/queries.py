@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from panelspark.llm import (
     quality_mil,
     quality_rules,
     substring_dedup,
+    token_packing,
     toxicity,
 )
 from panelspark.llm.scratch import table
@@ -144,3 +146,13 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_centroids"] = centroids.oracle()
+
+
+@_query
+def op12_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, their ids as a checksum."""
+    packed = token_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
