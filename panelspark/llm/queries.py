@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import (
     centroids,
+    collocations,
     fingerprints,
     language_id,
     lm_scoring,
@@ -156,3 +157,12 @@ def op12_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset",
     )
+
+
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = collocations.oracle()
