@@ -11,6 +11,8 @@ its last sequences up. Texts never travel, and only leftovers are shuffled.
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from panelspark.llm.scratch import Scratch, ship
+from panelspark.llm.words import LOWER
 
 CAPACITY = 4096  # ids, a power of two
 OPEN = 32  # windows open at once in a partition
@@ -33,8 +36,8 @@ END = 2  # id behind every document
 FAN = 16  # partitions whose leftovers are merged by one task
 # A tokenizer file larger than this is not sent to the tasks.
 TOKENIZER_BYTES = 64 << 20
-# Documents tokenized at a time; words whose ids a worker remembers, and their length.
-DOCS, WORDS, WORD_BYTES = 256, 1 << 18, 48
+# Documents tokenized at a time, parts of words spelled at a time, bytes of parts that a worker remembers.
+DOCS, TOGETHER, KEPT_BYTES = 1024, 4096, 8 << 20
 
 # Parts of a sequence id: level of merging, partition or group, running number.
 _LEVEL, _PART = 1 << 58, 1 << 34
@@ -43,15 +46,91 @@ _LEVEL, _PART = 1 << 58, 1 << 34
 # --- tokens -----------------------------------------------------------------------------
 
 
+# Fixed value: how the tokenizer's file spells bytes.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+# Kinds of bytes in plain text: letters are a-z and the two-byte ones from U+00C0 to U+023F.
+_SPACE, _LETTER, _DIGIT, _SIGN, _WORD = range(5)
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[0x20, 9, 10, 11, 12, 13]] = _SPACE
+_KIND[97:123] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[0x80:0xC0] = _LETTER
+_KIND[0xC3:0xC9] = _LETTER
+# Words with these are no plain text, or are cut by their apostrophe.
+_ODD = np.zeros(256, bool)
+_ODD[0xC9:] = True
+_ODD[[0xC0, 0xC1, 0xC2, ord("'")]] = True
+
+
+def cut(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (behind) of each part of the texts ``edges[d]:edges[d + 1]``.
+
+    A part is what the tokenizer spells on its own: letters, a digit, a run of signs.
+    A word that is not plain is one part, which the tokenizer may cut further.
+    """
+    kind = _KIND[data]
+    odd = _ODD[data]
+    # A sign among the letters (two), and a capital that becomes two code points.
+    odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+    text = np.zeros(len(data) + 1, bool)
+    text[edges] = True
+    inside = np.r_[False, kind != _SPACE, False]
+    first = np.flatnonzero(inside[1:] & (text | ~inside[:-1]))
+    behind = np.flatnonzero(inside[:-1] & (text | ~inside[1:]))
+    for at in np.unique(np.searchsorted(first, np.flatnonzero(odd), "right") - 1):
+        kind[first[at] : behind[at]] = _WORD
+    shown = np.r_[np.uint8(_SPACE), kind, np.uint8(_SPACE)]
+    edge = text | (shown[1:] != shown[:-1]) | (shown[1:] == _DIGIT)
+    start = np.flatnonzero(edge & (shown[1:] != _SPACE))
+    end = np.flatnonzero(edge & (shown[:-1] != _SPACE))
+    return start, end
+
+
 class _Ids(dict):
-    """Ids of words as little-endian 32-bit bytes, for one tokenizer."""
+    """Ids of parts as little-endian 32-bit bytes, for one tokenizer file.
+
+    Letters are spelled many at a time, without the tokenizer's steps that change
+    nothing in them; the last token of a part is marked as the end of a word.
+    """
 
     def __init__(self, blob: str):
+        self.held = 0
         self.tokenizer = Tokenizer.from_str(blob)
-
-    def of(self, words: list[bytes]) -> list[bytes]:
-        plain = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        bare = json.loads(blob)
+        bare |= {"normalizer": None, "added_tokens": []}
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTES]}
+        self.letters = Tokenizer.from_str(json.dumps(bare))
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: list[bytes]) -> None:
+        plain = [p for p in parts if _KIND[p[0]] == _LETTER and LETTERS.fullmatch(p)]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            text = b" ".join(some).decode().lower()
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            edge = np.flatnonzero(self.ends[ids]) + 1
+            if len(edge) != len(some):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            raw, edge = ids.tobytes(), (4 * edge).tolist()
+            self.update((w, raw[a:b]) for w, a, b in zip(some, [0, *edge], edge))
+        others = [p for p in parts if p not in self]
+        self.update(zip(others, self.whole([p.decode("utf-8", "replace") for p in others])))
+        self.held += sum(map(len, parts))
+
+    def forget(self) -> None:
+        """Keep what is remembered within bounds."""
+        if self.held > KEPT_BYTES:
+            self.clear()
+            self.held = 0
+
+
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+")
 
 
 @lru_cache(maxsize=1)
@@ -59,28 +138,41 @@ def _ids(blob: str) -> _Ids:
     return _Ids(blob)
 
 
-def tokenize(texts: list[str | None], blob: str) -> list[bytes]:
-    """Ids of each text as bytes, without an end.
-
-    The tokenizer drops white space and never joins across it, so that a text's ids
-    are those of its words in turn, and a word is spelled once for all its places. It
-    lower-cases as well; A-Z are lower-cased before, but for texts that might hold the
-    name of a special token.
-    """
+def tokenize(texts: pa.Array, blob: str) -> Iterator[bytes]:
+    """Ids of each text as bytes, without an end; a null text is empty."""
     known = _ids(blob)
-    cut = []
-    for text in texts:
-        raw = (text or "").encode("utf-8", "replace")
-        cut.append((raw if b"<|" in raw else raw.lower()).split())
-    missing = list(set().union(*cut) - known.keys())
-    known.update(zip(missing, known.of(missing)))
-    out = [b"".join(map(known.__getitem__, words)) for words in cut]
-    for word in missing:
-        if len(word) > WORD_BYTES:
-            del known[word]
-    if len(known) > WORDS:
-        known.clear()
-    return out
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, values = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = LOWER[np.frombuffer(values, np.uint8)[edges[0] : edges[-1]]] if values is not None else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    # A text that may hold the name of a special token goes through the tokenizer as it is.
+    named = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    named = np.unique(np.searchsorted(edges, named, "right") - 1)
+    for at in named:
+        data[edges[at] : edges[at + 1]] = 0x20
+    apart = dict(zip(named.tolist(), known.whole([texts[int(at)].as_py().decode("utf-8", "replace") for at in named])))
+    start, end = cut(data, edges)
+    # Part bytes end to end are an Arrow array, which numbers the distinct parts.
+    offsets = np.r_[0, np.cumsum(end - start)].astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[_KIND[data] != _SPACE]))]
+    ).dictionary_encode()
+    each = parts.dictionary.to_pylist()
+    known.learn([p for p in each if p not in known])
+    spelled = [known[p] for p in each]
+    known.forget()
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+    ids = np.frombuffer(b"".join(spelled), "<u4")
+    first = np.cumsum(size) - size
+    code = parts.indices.to_numpy()
+    count = size[code]
+    behind = np.cumsum(count)
+    total = int(behind[-1]) if len(behind) else 0
+    out = ids[np.repeat(first[code] - (behind - count), count) + np.arange(total)].tobytes()
+    ends = 4 * np.r_[0, behind][np.searchsorted(start, edges)]
+    for at, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        yield apart[at] if at in apart else out[a:b]
 
 
 # --- windows ----------------------------------------------------------------------------
@@ -187,7 +279,7 @@ def _online(tokenizer, settings: tuple, end: int, schema: pa.Schema):
         for batch in batches:
             for at in range(0, len(batch), DOCS):
                 some = batch.slice(at, DOCS)
-                for key, ids in zip(some.column(0).to_pylist(), tokenize(some.column(1).to_pylist(), tokenizer.value)):
+                for key, ids in zip(some.column(0).to_pylist(), tokenize(some.column(1), tokenizer.value)):
                     ids += stop
                     packer.add((key, 0, ids, len(ids) // 4))
                 yield from _rows(packer, 0, part, schema, False).to_batches()

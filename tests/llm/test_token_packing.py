@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -66,7 +67,8 @@ def test_words_one_by_one_are_the_whole_text(spark):
         "Don't 'S <|endoftext|> <|ENDOFTEXT|> x<|startoftext|>y", "a b ć ́d\x1ce\x85f​g　h", "A\tB\r\nC\x0bD\x0cE",
         "ΟΔΟΣ İstanbul ǅ ﬁ Straße 漢字かな 한국어 é \U0001f600\U0001f600 1234 ½ ²", "", "́", " \n", "a" * 5000, "١٢٣ १२३ ﻿x",
     ]
-    got = token_packing.tokenize([*texts, None], blob)
+    texts += ["it's IT'S we'll'd 'sx x'tre !'s --'m ''ll don''t a1b22 x\x00y\x7fz", "Éa×b÷ c ÀÖØöøÿ Āİıŉǅȿ ªº µ «x» “y’s” naïve'll", "e\u0301 ée\u0301x x\u0300'd"]
+    got = token_packing.tokenize(pa.array([*texts, None]), blob)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [direct(t)[:-1] for t in [*texts, ""]]
 
 
