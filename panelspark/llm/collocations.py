@@ -32,13 +32,13 @@ from panelspark.llm.words import BASE, LOWER, Words, mix
 
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 # Text of a block before it is sorted, and of a group of entries that is counted at once.
-BLOCK_BYTES, GROUP_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 # Ways in which one level splits a range of leading words.
 FAN = 256
 # Phrases that begin a larger share of the corpus' entries than this are routed one word deeper.
 HOT = 1 / 1024
 # Partitions of fewer pointers are sorted together, some many at a time.
-SMALL, TOGETHER = 256, 1 << 17
+SMALL, TOGETHER = 256, 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9]] = True

@@ -23,6 +23,8 @@ from panelspark.llm.words import LOWER, Words, chunks
 
 PASSAGE = 64  # words
 CODE, GATE = 24, 12  # width of a passage's code, of the attention's hidden layer
+# Passages of one text that the fit sees, at most; scores use all.
+FIT_PASSAGES = 64
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 3e-3, 1e-4
 SEED = 11
 
@@ -122,13 +124,32 @@ class Model:
         }
 
 
-def train(rows: list[tuple[int, str, int]], epochs: int = EPOCHS) -> Model:
-    """Adam on shuffled batches of whole bags; the seed fixes the result."""
+def _bags(most: int):
+    """Rows (id, label, text) with the number and the features of up to ``most`` passages, spread over the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in chunks(batch.column(2)):
+                x, first = passages(words)
+                some = batch.slice(words.row, words.texts)
+                bags = [
+                    x[a + np.arange(min(n, most)) * n // min(n, most)].astype(np.float32)
+                    for a, n in zip(first.tolist(), np.diff(first).tolist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())],
+                    names=["id", "label", "n", "x"],
+                )
+
+    return run
+
+
+def train(sizes: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Adam on shuffled batches of whole bags; the seed fixes the result.
+
+    Bag i has the next ``sizes[i]`` rows of ``x`` and the label ``y[i]``.
+    """
     rng = np.random.default_rng(SEED)
-    parts = [passages(words) for words in chunks(pa.array([t for _, t, _ in rows], pa.string()))]
-    y = np.array([label for _, _, label in rows], np.float64)
-    x = np.concatenate([a for a, _ in parts]) if parts else np.zeros((0, FEATURES))
-    sizes = np.concatenate([np.diff(b) for _, b in parts]) if parts else np.zeros(0, np.int64)
     starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     mean = x.mean(0) if len(x) else np.zeros(FEATURES)
     scale = x.std(0) + 1e-2 if len(x) else np.ones(FEATURES)
@@ -160,8 +181,15 @@ def train(rows: list[tuple[int, str, int]], epochs: int = EPOCHS) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out quarter."""
-    return train(fitting_rows(docs, labels, "quality", rows, id_col, text_col))
+    """Fit on at most ``rows`` labelled documents outside the held-out quarter, of each at most ``FIT_PASSAGES`` passages.
+
+    The features of passages are made in the tasks; only they reach the driver.
+    """
+    sample = fitting_rows(docs, labels, "quality", rows, id_col, text_col)
+    found = sample.select("id", "label", "text").mapInArrow(_bags(FIT_PASSAGES), "id long, label int, n long, x binary")
+    found = found.toArrow().sort_by("id")
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
+    return train(found.column("n").to_numpy(), x, found.column("label").to_numpy().astype(np.float64))
 
 
 def _score(model: Model):

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,43 +90,94 @@ def _association(a: np.ndarray, b: np.ndarray, toxic: float, clean: float) -> tu
     return g, odds
 
 
-def learn_lists(rows: list[tuple[int, str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each of ``KINDS`` the sorted hashes and log odds of its list.
+def _kept(count: np.ndarray, toxic: float, clean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries enter a list, and their log odds.
 
-    An entry is associated with the label by the rows that have it at all, or by
-    those where it makes ``DENSITIES[0]`` of the words.
+    ``count`` has for each the toxic and clean rows that have it at all, and those
+    where it makes ``DENSITIES[0]`` of the words; either may associate it with the label.
     """
-    marks = np.array([y for _, _, y in rows], np.int64)
-    toxic, clean = float((marks == 1).sum()), float((marks == 0).sum())
-    texts = pa.array([t for _, t, _ in rows], pa.string())
+    keep, best = np.zeros(len(count), bool), np.zeros(len(count))
+    for a, b in (count[:, 0:2].T, count[:, 2:4].T):
+        g, odds = _association(a, b, toxic, clean)
+        keep |= (g >= LEAST_G) & (odds >= np.log(LEAST_ODDS)) & (a >= LEAST_DOCS)
+        best = np.maximum(best, odds)
+    return keep, best
+
+
+def _entries(words: Words, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, beginning) of one kind: text, hash and whether it is dense there."""
+    owner, row = words.owner(), beginnings(words, (kind,))[0]
+    seen = np.flatnonzero(row)
+    order = seen[np.lexsort((row[seen], owner[seen]))]
+    text, code = owner[order], row[order]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else order
+    count = np.diff(np.r_[first, len(code)])
+    return text[first], code[first], count >= DENSITIES[0] * words.counts[text[first]]
+
+
+def _of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of toxic rows -> (kind, hash, rows that have it)."""
+    for batch in batches:
+        for words in chunks(batch.column(0)):
+            for kind in KINDS:
+                code, n = np.unique(_entries(words, kind)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(code), kind, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], names=["kind", "code", "n"]
+                )
+
+
+def _counted(candidates: list[np.ndarray]):
+    """Rows (text, label, half) -> per candidate its counts, of all rows and of half 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((len(each), 8), np.int64) for each in candidates]
+        for batch in batches:
+            clean, half = batch.column(1).to_numpy() == 0, batch.column(2).to_numpy()
+            for words in chunks(batch.column(0)):
+                for kind, each, total in zip(KINDS, candidates, totals):
+                    if not len(each):
+                        continue
+                    text, code, dense = _entries(words, kind)
+                    at = np.minimum(np.searchsorted(each, code), len(each) - 1)
+                    own = each[at] == code
+                    text, at, dense = text[own] + words.row, at[own], dense[own]
+                    for first, use in ((0, np.ones(len(at), bool)), (4, half[text] == 0)):
+                        for column, some in ((0, use), (2, use & dense)):
+                            place = at[some] * 8 + first + column + clean[text[some]]
+                            total += np.bincount(place, minlength=total.size).reshape(total.shape)
+        for k, total in enumerate(totals):
+            used = np.flatnonzero(total.any(1))
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * 8), pa.array(total[used].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used), cells], names=["k", "at", "n"])
+
+    return run
+
+
+def learn_lists(sample: DataFrame) -> tuple[list, list]:
+    """For each of ``KINDS`` the sorted hashes and log odds of its list, from all rows and from half 0.
+
+    ``sample`` has text, label and half. Only what occurs in ``LEAST_DOCS`` toxic rows
+    can enter a list; only these hashes and their counts leave the tasks.
+    """
+    toxic = sample.where("label = 1").select("text").mapInArrow(_of_toxic, "kind int, code long, n long")
+    often = toxic.groupBy("kind", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).toArrow()
+    kind, code = often.column("kind").to_numpy(), often.column("code").to_numpy().view(np.uint64)
+    candidates = [np.sort(code[kind == k]) for k in KINDS]
+    counts = [np.zeros((len(each), 8), np.int64) for each in candidates]
+    cells = sample.select("text", "label", "half").mapInArrow(_counted(candidates), "k int, at long, n array<bigint>")
+    summed = cells.groupBy("k", "at").agg(*[F.sum(F.col("n")[c]).alias(f"n{c}") for c in range(8)]).toArrow()
+    for k in range(len(KINDS)):
+        own = summed.filter(pc.equal(summed.column("k"), k))
+        counts[k][own.column("at").to_numpy()] = np.stack([own.column(f"n{c}").to_numpy() for c in range(8)], 1)
+    rows = sample.agg(*[F.count(F.when((F.col("label") == y) & (F.col("half") <= h), 1)) for h in (1, 0) for y in (1, 0)]).first()
     out = []
-    for kind in KINDS:  # one at a time: the driver holds the entries of one list
-        found, at = [], 0
-        for words in chunks(texts):
-            owner, row = words.owner(), beginnings(words, (kind,))[0]
-            seen = np.flatnonzero(row)
-            order = seen[np.lexsort((row[seen], owner[seen]))]
-            text, code = owner[order], row[order]
-            first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else order
-            count = np.diff(np.r_[first, len(code)])
-            dense = count >= DENSITIES[0] * words.counts[text[first]]
-            found.append((code[first], marks[at + text[first]].astype(np.int8), dense))
-            at += words.texts
-        if not found:
-            out.append((np.zeros(0, np.uint64), np.zeros(0)))
-            continue
-        code, label, dense = (np.concatenate(x) for x in zip(*found))
-        del found
-        each, inverse = np.unique(code, return_inverse=True)
-        keep, best = np.zeros(len(each), bool), np.zeros(len(each))
-        for use in (np.ones(len(code), bool), dense):
-            a = np.bincount(inverse[use], weights=label[use], minlength=len(each))
-            b = np.bincount(inverse[use], minlength=len(each)) - a
-            g, odds = _association(a, b, toxic, clean)
-            keep |= (g >= LEAST_G) & (odds >= np.log(LEAST_ODDS)) & (a >= LEAST_DOCS)
-            best = np.maximum(best, odds)
-        out.append((each[keep], best[keep]))
-    return out
+    for first in (0, 4):
+        lists = []
+        for each, count in zip(candidates, counts):
+            keep, odds = _kept(count[:, first : first + 4].astype(float), float(rows[first // 2]), float(rows[first // 2 + 1]))
+            lists.append((each[keep], odds[keep]))
+        out.append(lists)
+    return out[0], out[1]
 
 
 def features(words: Words, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -304,17 +356,33 @@ class Toxicity:
         return _sigmoid(self.slope * (x @ self.weight[:-1] + self.weight[-1]) + self.shift)
 
 
+def _features(*lists):
+    """Rows (id, label, half, text) with the text's features by each of the lists in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for found in lists:
+                x = [features(words, found) for words in chunks(batch.column(3))]
+                x = np.concatenate(x) if x else np.zeros((0, 3 * len(KINDS) + 4))
+                edges = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                columns.append(pa.ListArray.from_arrays(edges, pa.array(x.reshape(-1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "label", "half", "x", "half_x"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
     """Fit on at most ``rows`` labelled rows; voters are judged on all documents."""
     sample = fitting_rows(docs, labels, "toxic", rows, id_col, text_col)
-    y = np.array([t for _, _, t in sample], np.float64)
-    lists = learn_lists(sample)
-
-    def table(found):
-        parts = [features(words, found) for words in chunks(pa.array([t for _, t, _ in sample], pa.string()))]
-        return np.concatenate(parts) if parts else np.zeros((0, 3 * len(KINDS) + 4))
-
-    x = table(lists)
+    sample = sample.withColumn("half", F.pmod("id", F.lit(2)).cast("int"))
+    lists, half_lists = learn_lists(sample)
+    found = sample.select("id", "label", "half", "text").mapInArrow(
+        _features(lists, half_lists), "id long, label int, half int, x array<double>, half_x array<double>"
+    ).toArrow().sort_by("id")
+    y = found.column("label").to_numpy().astype(np.float64)
+    size = 3 * len(KINDS) + 4
+    x, half_x = (found.column(c).combine_chunks().flatten().to_numpy().reshape(-1, size) for c in ("x", "half_x"))
     prior = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
     summed = (
         docs.select(text_col).mapInArrow(_moments(lists), "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
@@ -332,10 +400,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     z = (z - mean) / scale
     soft = _sigmoid(model.bias + votes(x) @ model.weight)
     weight = _logistic(z, soft, np.ones(len(z)), ridge=1.0)
-    # The score is scaled on rows that made none of the lists they are read with: half
-    # of the rows, with lists from the other half.
-    check = np.arange(len(y)) % 2 == 1
-    margin = (_squash(table(learn_lists(sample[0::2]))) - mean) / scale @ weight[:-1] + weight[-1]
+    # The score is scaled on rows that made none of the lists they are read with: half 1,
+    # with lists from half 0. This is where labels enter besides the lists.
+    check = found.column("half").to_numpy() == 1
+    margin = (_squash(half_x) - mean) / scale @ weight[:-1] + weight[-1]
     slope, shift = 1.0, 0.0
     if len(y) and 0 < y[check].sum() < check.sum():
         slope, shift = _logistic(margin[check, None], y[check], np.ones(check.sum()), ridge=0.01)

@@ -6,8 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import jaccard, lower, words
+from pyspark.sql import functions as F
 
-from panelspark.llm import fingerprints, language_id, lm_scoring, quality_mil, toxicity
+from panelspark.llm import fingerprints, labelled, language_id, lm_scoring, quality_mil, toxicity
 from panelspark.llm.attention import WINDOW, Attention, windows_of
 
 
@@ -17,7 +18,8 @@ def held_out(i, mod=4, rest=2):
 
 def test_quality_gradient_is_the_derivative():
     rng = np.random.default_rng(0)
-    model = quality_mil.train([(i, t, i % 2) for i, t in enumerate(["a b c " * 60, "!! ## x", "", "one two"])], epochs=1)
+    sizes = np.array([3, 1, 1, 2])
+    model = quality_mil.train(sizes, rng.normal(size=(7, quality_mil.FEATURES)), np.array([0.0, 1, 0, 1]), epochs=1)
     x, first = rng.normal(size=(7, quality_mil.FEATURES)), np.array([0, 3, 4, 7])
     y = np.array([1.0, 0.0, 1.0])
 
@@ -94,6 +96,46 @@ def test_models_on_an_empty_table(nothing, edge_labels):
     assert fingerprints.compare_edited(nothing).collect() == []
 
 
+def test_fitting_rows_are_one_per_id(spark):
+    """An id that a third of all rows carry brings one text; what is held out or has no label brings none."""
+    many = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rest = spark.range(40_000).select((F.col("id") + 2).alias("doc_id"), F.lit("other").alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)] + [(1, 0), (7, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled.fitting_rows(many.unionByName(rest), labels, "toxic", rows=100).collect()
+    assert len(got) == 100 == len({r.id for r in got})
+    every = labelled.fitting_rows(many.unionByName(rest), labels, "toxic").collect()
+    assert len(every) == sum(not held_out(i) for i in range(1, 400) if i != 7) and {r.text for r in every} == {"text 0", "other"}
+
+
+def test_word_lists_as_by_counting(spark, documents, labels):
+    """Counts of word beginnings in toxic and clean rows, and the lists that they make."""
+    sample = labelled.fitting_rows(documents, labels, "toxic").withColumn("half", F.pmod("id", F.lit(2)).cast("int"))
+    rows = [(r.text, r.label, r.half) for r in sample.collect()]
+    marks = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+    found = toxicity.learn_lists(sample)
+    for lists, halves in zip(found, ((0, 1), (0,))):
+        some = [r for r in rows if r[2] in halves]
+        toxic, clean = (sum(r[1] == y for r in some) for y in (1, 0))
+        for kind, (codes, odds) in zip(toxicity.KINDS, lists):
+            counts = [Counter() for _ in range(4)]
+            for text, label, _ in some:
+                own = Counter()
+                for w in words(text):
+                    b = lower(w).encode()
+                    for _ in range(4):
+                        b = b[:-1] if b and chr(b[-1]) in marks and b[-1] < 128 else b
+                        b = b[1:] if b and chr(b[0]) in marks and b[0] < 128 else b
+                    if len(b) >= max(kind, 2):
+                        own[b[:kind] if kind else b] += 1
+                for b, n in own.items():
+                    counts[0 if label else 1][b] += 1
+                    if n >= toxicity.DENSITIES[0] * len(words(text)):
+                        counts[2 if label else 3][b] += 1
+            each = [b for b in counts[0] if counts[0][b] >= toxicity.LEAST_DOCS]
+            keep, want = toxicity._kept(np.array([[c[b] for c in counts] for b in each], float).reshape(-1, 4), toxic, clean)
+            assert len(codes) == keep.sum() and np.allclose(np.sort(odds), np.sort(want[keep]))
+
+
 def test_label_model_finds_accuracies_and_correlated_voters():
     rng = np.random.default_rng(1)
     y = np.where(rng.random(40_000) < 0.2, 1, -1)
