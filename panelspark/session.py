@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +50,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per session, from the shared checkpoint folder.
+
+    Tasks import it; nothing has to be installed on the machines they run on.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_panelspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(str(path.relative_to(root.parent))), path.read_bytes())
+    code = packed.getvalue()
+    target = f"{ensure_checkpoint_dir(spark)}/panelspark-{hashlib.sha256(code).hexdigest()[:16]}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(code))
+    stream.close()
+    context.addPyFile(target)
+    context._panelspark_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from a checkpoint, its plan cut there.
 
