@@ -170,3 +170,16 @@ def test_wide_layout_fills_the_same_cells(raw):
     assert wide.filter("fbscan IS NULL").count() == 0
     known = tables["comorbid"].select("id", "visdate", F.col("fbscan").alias("known"))
     assert wide.join(known, ["id", "visdate"]).filter("known <> fbscan").count() == 0
+
+
+def test_wide_cells_are_looked_up_by_their_number(raw):
+    """Filtration has two parts by year; in the later one a person's visits begin with a later number."""
+    tables = domain_tables(enriched_visits(raw["visit_raw"].filter("id < 12"), raw["enroll_raw"]))
+    rows_ = imputation.visit_table(tables, imputation.CONDITIONS["renal"]).filter(F.col("yr") >= imputation.GFR_SPLIT)
+    assert rows_.agg(F.min("n_vis")).first()[0] > 1
+    wide = imputation.impute_wide(
+        rows_, imputation.person_table(tables), ["gfr"], ["work"], outputs=["gfr"], targets=["gfr"], trees=2, max_sweeps=1
+    )
+    both = wide.join(rows_.select("id", "visdate", F.col("gfr").alias("known")), ["id", "visdate"])
+    assert both.where("gfr IS NULL OR gfr <> known").count() == 0
+    assert both.where("known IS NOT NULL").count() > 20
