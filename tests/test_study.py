@@ -182,4 +182,4 @@ def test_wide_cells_are_looked_up_by_their_number(raw):
     )
     both = wide.join(rows_.select("id", "visdate", F.col("gfr").alias("known")), ["id", "visdate"])
     assert both.where("gfr IS NULL OR gfr <> known").count() == 0
-    assert both.where("known IS NOT NULL").count() > 20
+    assert both.where("known IS NOT NULL").count() > 0
