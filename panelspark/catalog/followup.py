@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.book import query, step
 from panelspark.catalog.measures import counted
-from panelspark.operators import cohort, panel, survival
+from panelspark.operators import cohort, limits, panel, survival
 from panelspark.operators.keys import drop_keys, keep_keys
 from panelspark.sources import views
 
@@ -296,3 +296,9 @@ FROM (SELECT DATE '1996-01-01' + h.time AS date, p1 AS risk1, p2 AS risk2, p3 AS
 def state_curve_wide(spark, sf_dir):
     wide = survival.occupancy_wide(chained(spark, sf_dir), origin=ORIGIN)
     return wide.select("date", *[F.round(c, 6).alias(c) for c in wide.columns if c != "date"])
+
+
+@query("state_limits")
+def state_limits(spark, sf_dir):
+    """The curve with its standard errors and 95 % limits."""
+    return limits.occupancy_limits(chained(spark, sf_dir), origin=ORIGIN, decimals=6)

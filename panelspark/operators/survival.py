@@ -152,6 +152,7 @@ def _paths(
     share = F.array(*[F.try_divide(F.col(f"n_{i}"), total) for i in states])
     row = F.struct(
         "time",
+        "n_seen",
         *[f"n_{i}" for i in states],
         *[f"into_{i}" for i in states],
         *[f"h_{i}_{j}" for i, j in pairs],
