@@ -146,16 +146,7 @@ def occupancy_limits(
     states, spark = list(states), df.sparkSession
     ship(spark)
     stages = Stages(spark, name="limits")
-    path = survival._paths(df, states, censor, [], start_at, survival.SPAN)
-    arrays = {
-        "n": F.array(*[F.col(f"r.n_{i}").cast("double") for i in states]),
-        "h": F.array(*[F.col(f"r.h_{i}_{j}") if i != j else F.lit(0.0) for i in states for j in states]),
-        "p": F.col("p"),
-    }
-    begins = F.col("r.n_seen") > 0
-    if start_at == "first_transition":
-        begins = sum((F.col(f"r.into_{i}") for i in states), F.lit(0)) > 0
-    curve = stages.write(path.select(F.col("r.time").alias("time"), begins.alias("begins"), *[v.alias(c) for c, v in arrays.items()]), "curve")
+    curve = stages.write(survival.paths(df, states, censor, [], start_at).select("time", "begins", "n", "h", "p"), "curve")
     total, first, last = curve.agg(F.count("*"), F.min(F.when(F.col("begins"), F.col("time"))), F.max("time")).first()
     out = curve.select("time", "p")
     if total:

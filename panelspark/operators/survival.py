@@ -3,27 +3,32 @@
 Input rows are intervals (days0, days] with the state they start in (``state0``)
 and the state they end in (``state``, or ``censor`` when the end is not an
 observed state). Intervals are counted into one row per distinct time before
-anything ordered happens. Times are then cut into ranges of ``SPAN`` units, and no
-ordered step sees more than one range of times, or one row per range: sums before a
-range and products of transition matrices over it are carried from range to range,
-and all ranges are expanded side by side.
+anything ordered happens. Times are packed into ranges of ``SPAN`` units; sums before
+a range and products of transition matrices over it are carried along the ranges by a
+tree (``scan``), so that no task sees more than one range of times or of ranges,
+whatever the clock, and all ranges are followed side by side.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.dates import plus_days
+from panelspark.operators import scan
+from panelspark.session import ship
+from panelspark.sources.stages import Stages
 
 STATES = (1, 2, 3)
 
-# Units of time in one range: some 250 rows where the clock is days. A finer clock
-# asks for a smaller span.
+# Units of time in one range: some 250 rows where the clock is days.
 SPAN = 256
 
 
@@ -36,15 +41,8 @@ def usable_intervals(df: DataFrame, states: Sequence = STATES) -> DataFrame:
     )
 
 
-def time_table(
-    df: DataFrame, states: Sequence = STATES, censor=0, by: Sequence[str] = (), span: float = SPAN
-) -> DataFrame:
-    """One row per time: risk set and transition counts.
-
-    Columns: ``n_i`` at risk in state i just before the time, ``e_i_j`` moves
-    from i to j at it, ``n_end`` intervals ending there and ``n_seen`` of them
-    not censored. One aggregate over the intervals, combined before its shuffle.
-    """
+def _counts(df: DataFrame, states: Sequence, censor, by: Sequence[str]) -> DataFrame:
+    """One row per time: changes ``d_i`` of the numbers at risk, moves ``e_i_j``, ends."""
     by = list(by)
     starts = F.struct(F.col("days0").alias("time"), F.lit(1).alias("step"))
     ends = F.struct(F.col("days").alias("time"), F.lit(-1).alias("step"))
@@ -68,32 +66,137 @@ def time_table(
             if i != j
         ],
     )
-    return _at_risk(counts, states, by, span)
+    return counts
 
 
-def _at_risk(counts: DataFrame, states: Sequence, by: Sequence[str], span: float) -> DataFrame:
-    """``counts`` with the running sums of ``d_i`` before each time, at end times only."""
+def _ranges(df: DataFrame, states: Sequence, censor, by: Sequence[str], span: float) -> tuple[DataFrame, int]:
+    """One row per range of times: its rows in order, and ``before``, how many came into each state earlier.
+
+    ``rows`` holds time, n_end, n_seen, the changes ``d`` of the numbers at risk and the moves
+    ``e``, from each state to each other. Also the levels of a tree over the ranges.
+    """
+    ship(df.sparkSession)
     group = _group(by)
-    ranged = counts.withColumns({"_all": F.lit(0), "_range": F.floor(F.col("time") / span)})
-    totals = ranged.groupBy(*group, "_range").agg(*[F.sum(f"d_{i}").alias(f"d_{i}") for i in states])
-    # One row per range: what came in all ranges before.
-    rows = F.array_sort(F.collect_list(F.struct("_range", F.array(*[f"d_{i}" for i in states]).alias("d"))))
-    zero = F.array(*[F.lit(0).cast("long") for _ in states])
-    sums = F.aggregate(
-        "rows",
-        F.array(zero),
-        lambda acc, at: F.array_append(
-            acc, F.transform(F.element_at(acc, -1), lambda total, k: total + F.get(at["d"], k))
-        ),
+    pairs = [(i, j) for i in states for j in states if i != j]
+    counts = _counts(df, states, censor, by).withColumns({"_all": F.lit(0), "at": F.floor(F.col("time") / span).cast("long")})
+    row = F.struct(
+        "time", "n_end", "n_seen", F.array(*[F.col(f"d_{i}").cast("double") for i in states]).alias("d"),
+        F.array(*[F.col(f"e_{i}_{j}").cast("double") for i, j in pairs]).alias("e"),
     )
-    before = totals.groupBy(*group).agg(rows.alias("rows")).select(
-        *group, F.inline(F.arrays_zip(F.col("rows._range").alias("_range"), F.slice(sums, 1, F.size("rows")).alias("_before")))
+    sums = [F.sum(F.col(f"d_{i}").cast("double")) for i in states]
+    packed = counts.groupBy(*group, "at").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array(*sums).alias("v"))
+    # Read several times from here on, and small beside the intervals: a row per time at most.
+    packed = Stages(df.sparkSession, name="ranges").write(packed, "ranges")
+    levels = scan.levels_of(packed, "at")
+    before = scan.before_each(packed.select(*group, "at", "v"), group, "sum", len(states), levels)
+    return packed.drop("v").join(before, [*group, "at"]), levels
+
+
+def _numbers(batch: pa.RecordBatch, i: int, size: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one range: its rows, those with an end, numbers at risk and hazards (rows of a matrix per time)."""
+    rows = batch.column("rows")[i].values
+    d = rows.field("d").flatten().to_numpy().reshape(-1, size)
+    e = np.zeros((len(rows), size, size))
+    e[:, ~np.eye(size, dtype=bool)] = rows.field("e").flatten().to_numpy().reshape(len(rows), size * (size - 1))
+    risk = batch.column("before")[i].values.to_numpy() + d.cumsum(0) - d
+    hazard = np.divide(e, risk[:, :, None], out=np.zeros_like(e), where=risk[:, :, None] > 0)
+    ends = np.flatnonzero(rows.field("n_end").to_numpy() > 0)
+    return rows, ends, risk, e, hazard
+
+
+def _steps(hazard: np.ndarray) -> np.ndarray:
+    """One matrix per time: what moves, and what stays."""
+    out = hazard.copy()
+    k = range(hazard.shape[1])
+    out[:, k, k] = 1 - hazard.sum(2)
+    return out
+
+
+def _begins(rows: pa.Array, e: np.ndarray, start_at: str) -> np.ndarray:
+    return rows.field("n_seen").to_numpy() > 0 if start_at == "first_event" else e.sum((1, 2)) > 0
+
+
+def _products(size: int, start_at: str, keep: int):
+    """Ranges -> the product of their matrices, the shares where the curve may begin, and those at the last end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            products, begun, last = [], [], []
+            for i in range(len(batch)):
+                rows, ends, risk, e, hazard = _numbers(batch, i, size)
+                total = np.eye(size)
+                for step in _steps(hazard):
+                    total = total @ step
+                products.append(total.reshape(-1).tolist())
+                shares = risk / np.maximum(risk.sum(1, keepdims=True), 1)
+                first = np.flatnonzero(_begins(rows, e, start_at))
+                begun.append(shares[first[0]].tolist() if len(first) else None)
+                last.append(shares[ends[-1]].tolist() if len(ends) else None)
+            lists = [pa.array(c, pa.list_(pa.float64())) for c in (products, begun, last)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *lists], names=[*batch.schema.names[:keep], "v", "begun", "last"])
+
+    return run
+
+
+def _followed(size: int, start_at: str, keep: int, curve: bool):
+    """Ranges -> one row per end time: numbers at risk and moves; with ``curve`` hazards and the shares after it."""
+    names = ["n_end", "n_seen", "n", "e", *(["h", "p", "begins"] if curve else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                rows, ends, risk, e, hazard = _numbers(batch, i, size)
+                at = pa.array(ends)
+                columns = [rows.field(c).take(at) for c in ("n_end", "n_seen")] + [_lists(risk[ends]), _lists(e[ends])]
+                if curve:
+                    ahead = batch.column("ahead")[i].values
+                    p = batch.column("start")[i].values.to_numpy()
+                    p = p @ (np.eye(size) if ahead is None else ahead.to_numpy().reshape(size, size))
+                    path = np.zeros((len(rows), size))
+                    for t, step in enumerate(_steps(hazard)):
+                        path[t] = p = p @ step
+                    columns += [_lists(hazard[ends]), _lists(path[ends]), pa.array(_begins(rows, e, start_at)[ends])]
+                group = [batch.column(k).take(pa.array(np.full(len(ends), i))) for k in range(keep)]
+                yield pa.RecordBatch.from_arrays(
+                    [*group, rows.field("time").take(at), *columns], names=[*batch.schema.names[:keep], "time", *names]
+                )
+
+    return run
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    width = int(np.prod(values.shape[1:]))
+    edges = pa.array(np.arange(len(values) + 1, dtype=np.int32) * width)
+    return pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(values).reshape(-1)))
+
+
+def _times(ranges: DataFrame, group: list[str], size: int, start_at: str, curve: bool) -> DataFrame:
+    time = ranges.schema["rows"].dataType.elementType["time"].dataType
+    doubles = T.ArrayType(T.DoubleType())
+    fields = [("time", time), ("n_end", T.LongType()), ("n_seen", T.LongType()), ("n", doubles), ("e", doubles)]
+    if curve:
+        fields += [("h", doubles), ("p", doubles), ("begins", T.BooleanType())]
+    schema = T.StructType([*[ranges.schema[c] for c in group], *[T.StructField(n, t) for n, t in fields]])
+    return ranges.mapInArrow(_followed(size, start_at, len(group), curve), schema)
+
+
+def time_table(
+    df: DataFrame, states: Sequence = STATES, censor=0, by: Sequence[str] = (), span: float = SPAN
+) -> DataFrame:
+    """One row per time: risk set and transition counts.
+
+    Columns: ``n_i`` at risk in state i just before the time, ``e_i_j`` moves
+    from i to j at it, ``n_end`` intervals ending there and ``n_seen`` of them
+    not censored. One aggregate over the intervals, combined before its shuffle.
+    """
+    states, group = list(states), _group(by)
+    ranges, _ = _ranges(df, states, censor, by, span)
+    table = _times(ranges.select(*group, "rows", "before"), group, len(states), "first_event", False)
+    size = len(states)
+    return table.select(
+        *by, "time", "n_end", "n_seen", *[F.col("n")[i].cast("long").alias(f"n_{s}") for i, s in enumerate(states)],
+        *[F.col("e")[i * size + j].cast("long").alias(f"e_{a}_{b}") for i, a in enumerate(states) for j, b in enumerate(states) if i != j],
     )
-    earlier = Window.partitionBy(*group, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    inside = {f"n_{i}": F.coalesce(F.sum(f"d_{i}").over(earlier), F.lit(0)) for i in states}
-    out = ranged.withColumns(inside).join(before, [*group, "_range"])
-    out = out.withColumns({f"n_{i}": F.col(f"n_{i}") + F.col("_before")[k] for k, i in enumerate(states)})
-    return out.filter(F.col("n_end") > 0).drop("_all", "_range", "_before", *[f"d_{i}" for i in states])
 
 
 def _group(by: Sequence[str]) -> list[str]:
@@ -123,88 +226,28 @@ def transition_counts(df: DataFrame, censor=0, states: Sequence = STATES, by: Se
     )
 
 
-def _paths(
-    df: DataFrame, states: Sequence, censor, by: Sequence[str], start_at: str, span: float
-) -> DataFrame:
-    """Per end time ``r`` (its row of counts) and ``p``, the shares after it in the order of ``states``."""
+def paths(df: DataFrame, states: Sequence, censor=0, by: Sequence[str] = (), start_at: str = "first_event", span: float = SPAN) -> DataFrame:
+    """Per end time the numbers at risk ``n``, moves ``e`` and hazards ``h`` (matrices row by row), and shares ``p`` after it.
+
+    ``begins`` marks times at which the curve may begin.
+    """
     if start_at not in ("first_event", "first_transition"):
         raise ValueError(f"unknown start_at {start_at!r}")
-    group = _group(by)
-    pairs = [(i, j) for i in states for j in states if i != j]
-    at = {state: k for k, state in enumerate(states)}
-    table = time_table(df, states, censor, by, span).withColumn("_all", F.lit(0))
-
-    # h_i_j: chance of moving from i to j at this time.
-    hazard = {
-        f"h_{i}_{j}": F.coalesce(F.try_divide(F.col(f"e_{i}_{j}"), F.col(f"n_{i}")), F.lit(0.0))
-        for i, j in pairs
-    }
-    into = {
-        f"into_{j}": reduce(lambda a, b: a + b, [F.col(f"e_{i}_{j}") for i in states if i != j])
-        for j in states
-    }
-    moves = reduce(lambda a, b: a + b, [F.col(f"e_{i}_{j}") for i, j in pairs])
-    begins = F.col("n_seen") > 0 if start_at == "first_event" else F.col("_moves") > 0
-    table = table.withColumns({**hazard, **into, "_moves": moves})
-
-    # Start shares: the risk set at the first time where the curve begins.
-    total = reduce(lambda a, b: a + b, [F.col(f"n_{i}") for i in states])
-    share = F.array(*[F.try_divide(F.col(f"n_{i}"), total) for i in states])
-    row = F.struct(
-        "time",
-        "n_seen",
-        *[f"n_{i}" for i in states],
-        *[f"into_{i}" for i in states],
-        *[f"h_{i}_{j}" for i, j in pairs],
-    )
-    ranges = table.groupBy(*group, F.floor(F.col("time") / span).alias("_range")).agg(
-        F.array_sort(F.collect_list(row)).alias("rows"),
-        F.min_by(F.when(begins, share), F.when(begins, F.col("time"))).alias("begun"),
-        F.max_by(share, "time").alias("last"),
-    )
-
-    def step(p: Column, now: Column, offset: int = 0) -> list[Column]:
-        """Shares after one time: what stays plus what comes in."""
-        out = []
-        for j in states:
-            gain = [p[offset + at[i]] * now[f"h_{i}_{j}"] for i in states if i != j]
-            loss = [p[offset + at[j]] * now[f"h_{j}_{i}"] for i in states if i != j]
-            out.append(reduce(lambda a, b: a + b, [p[offset + at[j]], *gain]) - reduce(lambda a, b: a + b, loss))
-        return out
-
-    # The product of a range's matrices: a step on every unit vector at once.
-    size = len(states)
-    unit = F.array(*[F.lit(1.0 if k % (size + 1) == 0 else 0.0) for k in range(size * size)])
-    product = F.aggregate(
-        "rows", unit, lambda m, now: F.array(*[c for k in range(size) for c in step(m, now, k * size)])
-    )
-    # From range to range: one row per range, with the shares its first time starts from.
-    chain = ranges.select(*group, F.struct("_range", product.alias("m"), "begun", "last").alias("x")).groupBy(*group).agg(
-        F.array_sort(F.collect_list("x")).alias("chain")
-    )
-    # Nothing ever happens: shares at the last time.
-    start = F.coalesce(
-        F.get(F.filter("chain", lambda x: x["begun"].isNotNull()), F.lit(0))["begun"], F.element_at("chain", -1)["last"]
-    )
-    across = lambda p, m: F.array(
-        *[reduce(lambda a, b: a + b, [p[k] * m[k * size + j] for k in range(size)]) for j in range(size)]
-    )
-    begun = F.aggregate(
-        "chain", F.array(start), lambda acc, x: F.array_append(acc, across(F.element_at(acc, -1), x["m"]))
-    )
-    first = chain.select(
-        *group,
-        F.inline(F.arrays_zip(F.col("chain._range").alias("_range"), F.slice(begun, 1, F.size("chain")).alias("p0"))),
-    )
-    path = F.aggregate(
-        "rows",
-        F.array(F.col("p0")),
-        lambda acc, now: F.array_append(acc, F.array(*step(F.element_at(acc, -1), now))),
-    )
-    return ranges.join(first, [*group, "_range"]).select(
-        *by,
-        F.inline(F.arrays_zip(F.col("rows").alias("r"), F.slice(path, 2, F.size("rows")).alias("p"))),
+    group, size = _group(by), len(states)
+    ranges, levels = _ranges(df, states, censor, by, span)
+    doubles = T.ArrayType(T.DoubleType())
+    own = [ranges.schema[c] for c in (*group, "at")]
+    made = T.StructType([*own, *[T.StructField(c, doubles) for c in ("v", "begun", "last")]])
+    products = ranges.select(*group, "at", "rows", "before").mapInArrow(_products(size, start_at, len(group) + 1), made)
+    ahead = scan.before_each(products.select(*group, "at", "v"), group, "product", size, levels).withColumnRenamed("before", "ahead")
+    # The risk set at the first time where the curve begins; if nothing ever happens, at the last.
+    starts = products.groupBy(*group).agg(
+        F.coalesce(
+            F.min_by("begun", F.when(F.col("begun").isNotNull(), F.col("at"))), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("at")))
+        ).alias("start")
     )
+    packed = ranges.join(ahead, [*group, "at"]).join(starts, group).select(*group, "rows", "before", "ahead", "start")
+    return _times(packed, group, size, start_at, True)
 
 
 def state_occupancy(
@@ -223,20 +266,21 @@ def state_occupancy(
     counts moves into the state. The curve starts from the shares among persons
     at risk at the first event: the first end that is not censored, or with
     ``start_at="first_transition"`` the first change of state. ``origin`` adds
-    ``date``, the calendar day of a day count. ``span`` is the time that one task
-    folds at once.
+    ``date``, the calendar day of a day count. ``span`` is the time that is
+    folded at once.
     """
     by, states = list(by), list(states)
-    curve = _paths(df, states, censor, by, start_at, span)
+    curve, size = paths(df, states, censor, by, start_at, span), len(states)
+    into = [sum((F.col("e")[i * size + j] for i in range(size) if i != j), F.lit(0.0)).cast("long") for j in range(size)]
     out = curve.select(
         *by,
-        F.col("r.time").alias("time"),
+        "time",
         _stack(
             [
                 F.struct(
                     F.lit(i).alias("state"),
-                    F.col(f"r.n_{i}").alias("n_risk"),
-                    F.col(f"r.into_{i}").alias("n_event"),
+                    F.col("n")[k].cast("long").alias("n_risk"),
+                    into[k].alias("n_event"),
                     (F.col("p")[k] if decimals is None else F.round(F.col("p")[k], decimals)).alias("estimate"),
                 )
                 for k, i in enumerate(states)
@@ -259,8 +303,8 @@ def occupancy_wide(
 ) -> DataFrame:
     """The curve with one row per time, as ``curve_wide`` has it, straight from the fold."""
     by, states = list(by), list(states)
-    curve = _paths(df, states, censor, by, start_at, span)
-    time = F.col("r.time").alias("time") if origin is None else plus_days(F.lit(origin), F.col("r.time")).alias("date")
+    curve = paths(df, states, censor, by, start_at, span)
+    time = F.col("time") if origin is None else plus_days(F.lit(origin), F.col("time")).alias("date")
     return _with_totals(curve.select(*by, time, *[F.col("p")[k].alias(f"risk{i}") for k, i in enumerate(states)]), states)
 
 
