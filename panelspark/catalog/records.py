@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.book import query, step
 from panelspark.functions import look_up, null_if, parse_year
+from panelspark.operators import positions
 from panelspark.operators import registry as reg
 from panelspark.operators.keys import join_on
 from panelspark.plans import registry as rules_
@@ -282,3 +283,19 @@ def care_rules(spark, sf_dir):
         *[F.when(F.col("l_suppkey") % m != 0, F.lit(2000)).alias(f"yr_{t}") for t, m in GIVEN.items()],
     )
     return rows.select("rec", "ln", "cancer_type", "stage", rules_.standard_care().alias("std_trt"), rules_.site_of().alias("site"))
+
+
+@query(
+    "positional_bind",
+    "SELECT l_orderkey AS rec, l_linenumber AS ln, CAST(l_shipdate AS DATE) AS shipped, l_returnflag AS flag FROM lineitem",
+)
+def positional_bind(spark, sf_dir):
+    """Two extracts of one table, read on their own, bound again row by row."""
+    path = f"{sf_dir}/lineitem.parquet"
+    names = positions.in_file_order(spark, path, ["l_orderkey", "l_linenumber"])
+    facts = positions.in_file_order(spark, path, ["l_shipdate", "l_returnflag"])
+    both = positions.bind_columns(names, facts)
+    return both.select(
+        F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("ln"), F.col("l_shipdate").cast("date").alias("shipped"),
+        F.col("l_returnflag").alias("flag"),
+    )
