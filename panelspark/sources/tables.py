@@ -76,21 +76,68 @@ RAW_SCHEMAS = {
 CSV_OPTIONS = {"header": "true", "nullValue": "NA", "dateFormat": "yyyy-MM-dd"}
 
 
-def _typed(field: T.StructField) -> Column:
-    """A text column as its declared type; a cell that doesn't fit stops the job.
+def _parsed(field: T.StructField) -> tuple[Column, Column, Column]:
+    """A text column as its declared type, whether a cell does not fit it, and the cell's text.
 
     A whole number may be written with a fraction of zero (``1.0``).
     """
     text = F.trim(F.col(f"`{field.name}`"))
     if isinstance(field.dataType, T.StringType):
-        return F.col(f"`{field.name}`")
+        return F.col(f"`{field.name}`"), F.lit(False), text
     value = text.try_cast(field.dataType)
     if isinstance(field.dataType, (T.IntegerType, T.LongType)):
         number = text.try_cast("decimal(38,6)")
         whole = F.when(number == F.floor(number), number.try_cast(field.dataType))
         value = F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), value), whole)
-    wrong = F.concat(F.lit(f"column {field.name} cannot hold "), text)
-    return F.when(text.isNotNull() & value.isNull(), F.raise_error(wrong)).otherwise(value).cast(field.dataType)
+    return value, text.isNotNull() & value.isNull(), text
+
+
+def _typed(field: T.StructField) -> Column:
+    """A text column as its declared type; a cell that doesn't fit stops the job."""
+    value, wrong, text = _parsed(field)
+    error = F.raise_error(F.concat(F.lit(f"column {field.name} cannot hold "), text))
+    return F.when(wrong, error).otherwise(value).cast(field.dataType)
+
+
+def _csv_text(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    """All cells of a CSV table as text; a missing column is a ValueError."""
+    if schema is None:
+        raise ValueError("a CSV table needs a declared schema")
+    text = spark.read.options(**CSV_OPTIONS).csv(path)
+    missing = [c for c in schema.names if c not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return text
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: T.StructType, root: str, name: str, max_rejects: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A CSV table with the cells that do not fit left missing, and those cells.
+
+    The table is read once and written as Parquet below ``root`` with each row's bad cells; both
+    results read from there. Rejects are rows (``file``, ``row``, ``column``, ``text``), ``row`` a
+    number that is equal for the bad cells of one row and grows along a file. More of them
+    than ``max_rejects`` are a ValueError that names the columns.
+    """
+    cells, values = [], []
+    for field in schema:
+        value, wrong, text = _parsed(field)
+        values.append(value.cast(field.dataType).alias(field.name))
+        cells.append(F.when(wrong, F.struct(F.lit(field.name).alias("column"), text.alias("text"))))
+    bad = F.filter(F.array(*cells), lambda cell: cell.isNotNull())
+    text = _csv_text(spark, path, schema)
+    marks = [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), bad.alias("_bad")]
+    write_table(text.select(*values, *marks), f"{root}/{name}")
+    written = spark.read.parquet(f"{root}/{name}")
+    rejects = written.where(F.size("_bad") > 0).select(
+        F.col("_file").alias("file"), F.col("_row").alias("row"), F.inline("_bad")
+    )
+    if max_rejects is not None:
+        found = rejects.groupBy("column").agg(F.count("*").alias("n")).orderBy("column").collect()
+        if sum(r["n"] for r in found) > max_rejects:
+            raise ValueError(f"{path} has cells that do not fit: " + ", ".join(f"{r['column']} {r['n']}" for r in found))
+    return written.select(*schema.names), rejects
 
 
 def read_table(
@@ -103,12 +150,7 @@ def read_table(
     its column's type stops the job that reads it.
     """
     if fmt == "csv":
-        if schema is None:
-            raise ValueError("a CSV table needs a declared schema")
-        text = spark.read.options(**CSV_OPTIONS).csv(path)
-        missing = [c for c in schema.names if c not in text.columns]
-        if missing:
-            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        text = _csv_text(spark, path, schema)
         return text.select(*[_typed(f).alias(f.name) for f in schema])
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)

@@ -79,3 +79,24 @@ def test_bucketed_stage_needs_no_shuffle(spark, tmp_path):
 def test_schemas_name_no_column_twice():
     for schema in tables.RAW_SCHEMAS.values():
         assert len(set(schema.names)) == len(schema.names)
+
+
+def test_csv_cells_that_do_not_fit_are_listed(spark, sample, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("name,id,d,x,flag\na,1,2008-02-29,2,TRUE\nb,x,2008-02-30,1.5,FALSE\nNA,2.0,NA,NA,NA\n")
+    (tmp_path / "in" / "b.csv").write_text("name,id,d,x,flag\nc,3,2010-01-01,high,perhaps\nd,9,2010-01-02,7,TRUE\n")
+    table, rejects = tables.read_csv_checked(spark, str(tmp_path / "in"), sample.schema, str(tmp_path / "out"), "t")
+    assert table.schema.names == sample.schema.names
+    assert rows(table) == [
+        (1, dt.date(2008, 2, 29), 2.0, True, "a"), (2, None, None, None, None), (3, dt.date(2010, 1, 1), None, None, "c"),
+        (9, dt.date(2010, 1, 2), 7.0, True, "d"), (None, None, 1.5, False, "b"),
+    ]
+    got = rejects.collect()
+    assert sorted((r.file[-5:], r.column, r.text) for r in got) == [
+        ("a.csv", "d", "2008-02-30"), ("a.csv", "id", "x"), ("b.csv", "flag", "perhaps"), ("b.csv", "x", "high"),
+    ]
+    assert len({r.row for r in got}) == 2  # two cells of each bad row
+    more = (spark, str(tmp_path / "in"), sample.schema, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="d 1, flag 1, id 1, x 1"):
+        tables.read_csv_checked(*more, "u", max_rejects=3)
+    assert tables.read_csv_checked(*more, "v", max_rejects=4)[0].count() == 5
