@@ -15,7 +15,11 @@ from panelspark.llm.scratch import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go.
+
+    Whole texts are scored, however long; a null text scores as an empty one. Rows without
+    an id and repeated rows are each judged by their text; extra columns stay as they are.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
@@ -44,12 +48,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 5, 2, 1: documents repeated or cut to the words the mix takes."""
+    """Sources at weights 5, 2, 1: documents repeated or cut to the words the mix takes.
+
+    A null source is one source, the last; null and empty texts have no words and are not
+    taken. Rows without an id and repeated rows each count with their words. Ties
+    between sources go by their order; long texts are taken by blocks of their words.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 2048 words; copies of a document are one duplicate cluster."""
+    """Bins of 2048 words; copies of a document are one duplicate cluster.
+
+    Longer texts are cut into pieces. Null and empty texts are one piece of size 0 without a
+    bin. Rows without an id are one cluster, so no two of them share a bin. Null sources
+    are one source.
+    """
     return packing.pack(docs, F.col("doc_id"))
 
 
