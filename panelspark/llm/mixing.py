@@ -3,12 +3,11 @@
 Sources share blocks of equally many words: block k of a source with target t has
 the quotient t / (2k - 1), and the highest quotients win. A source's blocks are
 shared among its shards in the same way by their words, which gives every shard a
-whole quota that it fills on its own, by a seeded choice among its blocks. Nothing
-but the per-shard sums crosses shards. Built-in functions only.
-
-Where shards would hold a few words each, rounding them to blocks would miss the
-target: such a thin source has fewer, larger shards, which fill their quota in words.
-The SQL twin has no thin sources and equals the mix where no source is thin.
+whole quota that it fills on its own: whole copies as often as the quota's words
+allow, then a seeded choice among its blocks. Nothing but the per-shard sums crosses
+shards. A source of w words has sqrt(w / SHARD_WORDS) shards, so both the sums of a
+source and the rows of a shard grow with the root of its size, and no shard is so
+small that rounding to blocks would miss the target. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -21,9 +20,7 @@ from panelspark.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BLOCK = 16  # words
-SHARDS = 1024  # per source
-THIN = 12 * BLOCK  # a source with fewer words per shard is thin
-THIN_SHARD = 16_000  # words of a shard of a thin source
+SHARD_WORDS = 1024  # words of a shard of a source as small; a shard grows with the root of its source
 REPEATS = 3  # a target stops at so many times its source's size
 SEED = "mix-1"
 
@@ -114,8 +111,10 @@ def _targets(sources: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.least("cap", F.col("weight") * level)).drop("__r", "__level")
 
 
-def _shard(id_col: str) -> Column:
-    return _number(F.concat(F.lit(SEED + "/"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1) % SHARDS
+def _name(id_col: str, text_col: str) -> Column:
+    """What a row is drawn by: its id, or its text if it has none."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit(""))
+    return F.concat(F.lit(SEED + "/"), own)
 
 
 def mix(
@@ -134,6 +133,8 @@ def mix(
 
     Null and empty texts have size 0 and are never taken. Ids may repeat or be null.
     Reruns give the same mix: order and choice depend on ids, texts and ``SEED``.
+    A shard whose quota passes three copies of it has no more to give; as targets stop
+    there, the other shards of its source are as full, and the seat stays empty.
     """
     spark = docs.sparkSession
     names = [id_col, *[c for c in carry if c != id_col]]
@@ -143,63 +144,50 @@ def mix(
         F.col(id_col).alias("__id"),
         F.col(source_col).alias("__source"),
         n_words(F.col(text_col)).alias("size"),
-        _shard(id_col).alias("__shard"),
+        _name(id_col, text_col).alias("__name"),
         F.xxhash64(F.col(text_col)).alias("__text"),
     )
     scratch = Scratch(spark, "mixing")
-    shards = scratch.write(
-        rows.groupBy(F.col("__source").alias("source"), F.col("__shard").alias("shard")).agg(F.sum("size").alias("shard_size")),
-        "shards",
-    )
-    sources = _targets(
-        shards.groupBy("source").agg(
-            F.sum("shard_size").alias("source_size"), F.sum((F.col("shard_size") > 0).cast("long")).alias("__full")
-        )
-    )
-    sources = sources.withColumn("thin", F.col("source_size") < THIN * F.col("__full")).withColumn(
-        "__shards", F.when(F.col("thin"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("source_size") / THIN_SHARD))).otherwise(SHARDS)
+    sizes = scratch.write(
+        rows.groupBy(F.col("__source").alias("source"), _number(F.col("__name"), 1).alias("draw")).agg(F.sum("size").alias("size")),
+        "sizes",
     )
+    sources = _targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     every = Window.partitionBy(F.lit(0))
-    sources = sources.withColumn("__total", F.floor(F.sum("source_size").over(every) / BLOCK))
-    sources = apportion(sources, "target", "__total", [], ["source"], "source_blocks")
-    # A shard of a thin source is a cell of several; any other is its own cell.
+    sources = sources.withColumns(
+        {
+            "__total": F.floor(F.sum("source_size").over(every) / BLOCK),
+            "shards": F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(F.col("source_size") / float(SHARD_WORDS)))),
+        }
+    )
+    sources = scratch.write(apportion(sources, "target", "__total", [], ["source"], "source_blocks"), "sources")
     cells = (
-        shards.alias("x")
+        sizes.alias("x")
         .join(sources.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")))
-        .select("x.*", (F.col("x.shard") % F.col("y.__shards")).alias("cell"), "y.source_size", "y.target", "y.source_blocks", "y.thin")
+        .groupBy("x.source", (F.col("x.draw") % F.col("y.shards")).alias("cell"), "y.source_size", "y.target", "y.source_blocks")
+        .agg(F.sum("x.size").alias("cell_size"))
     )
-    quotas = cells.groupBy("source", "cell", "source_size", "target", "source_blocks", "thin").agg(F.sum("shard_size").alias("cell_size"))
-    quotas = apportion(quotas, "cell_size", "source_blocks", ["source"], ["cell"], "quota")
+    quotas = apportion(cells, "cell_size", "source_blocks", ["source"], ["cell"], "quota")
     n_blocks = F.greatest(F.lit(1).cast("long"), F.floor(F.col("cell_size") / BLOCK + 0.5))
-    quotas = quotas.withColumn("n_blocks", n_blocks).withColumns(
-        {
-            "quota": F.least(F.col("quota"), REPEATS * F.col("n_blocks")),
-            "shift": _number(F.concat_ws("/", F.lit(SEED), F.coalesce("source", F.lit("")), F.col("cell").cast("string")), 17),
-            "__words": F.col("quota") * BLOCK,
-        }
-    )
-    # Whole copies and blocks taken once more; thin sources count the words of a copy.
+    shift = _number(F.concat_ws("/", F.lit(SEED), F.coalesce("source", F.lit("")), F.col("cell").cast("string")), 17)
+    quotas = quotas.withColumns({"n_blocks": n_blocks, "shift": shift, "__words": F.col("quota") * BLOCK})
     whole = F.least(F.lit(REPEATS).cast("long"), F.floor(F.col("__words") / F.col("cell_size")))
     rest = F.floor((F.col("__words") - F.col("whole") * F.col("cell_size")) / BLOCK + 0.5)
-    by_words = F.col("thin") & (F.col("cell_size") > 0)
-    quotas = quotas.withColumn("whole", F.when(by_words, whole).otherwise(F.floor(F.col("quota") / F.col("n_blocks")))).withColumn(
-        "more", F.when(by_words, F.when(F.col("whole") < REPEATS, F.least(rest, F.col("n_blocks"))).otherwise(0)).otherwise(F.col("quota") % F.col("n_blocks"))
-    )
-    quotas = (
-        cells.select("source", "shard", "cell").alias("x")
-        .join(quotas.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.cell") == F.col("y.cell")))
-        .select("x.*", "y.source_size", "y.target", "y.n_blocks", "y.shift", "y.whole", "y.more")
+    quotas = quotas.withColumn("whole", F.when(F.col("cell_size") > 0, whole).otherwise(0).cast("long")).withColumn(
+        "more", F.when((F.col("cell_size") > 0) & (F.col("whole") < REPEATS), F.least(rest, F.col("n_blocks"))).otherwise(0).cast("long")
     )
-    quotas = scratch.write(quotas, "quotas")
-    key = F.md5(F.concat(F.lit(SEED + "/"), F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary"))
+    quotas = scratch.write(quotas.select("source", "cell", "source_size", "target", "n_blocks", "shift", "whole", "more"), "quotas")
+    scratch.drop("sizes")
     stream = (
-        # Rows without words take no part, and stay in their own shard.
-        Window.partitionBy("source", F.when(F.col("size") > 0, F.col("cell")).otherwise(-1 - F.col("shard")))
-        .orderBy(F.substring(key, 9, 16), F.col("__id"), F.col("size"), F.col("__text"))
+        # Rows without words take no part, and stay in a group of their own.
+        Window.partitionBy("source", F.when(F.col("size") > 0, F.col("cell")).otherwise(-1 - F.col("cell")))
+        .orderBy(F.substring(F.md5(F.col("__name").cast("binary")), 9, 16), F.col("__id"), F.col("size"), F.col("__text"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    dealt = rows.join(sources.select(F.col("source").alias("__of"), "shards"), F.col("__source").eqNullSafe(F.col("__of")))
+    dealt = dealt.withColumn("__cell", _number(F.col("__name"), 1) % F.col("shards")).drop("__of", "shards")
     placed = (
-        rows.join(quotas, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__shard") == F.col("shard")))
+        dealt.join(quotas, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__cell") == F.col("cell")))
         .withColumn("__at", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     )
     n, more = F.col("n_blocks"), F.col("more")
@@ -257,10 +245,8 @@ def oracle() -> str:
 
     return f"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-                      md5('{SEED}/' || doc_id) AS h FROM documents),
-d AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % {SHARDS} AS shard FROM sized),
-shards AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM d GROUP BY source, shard),
-s0 AS (SELECT source, CAST(sum(shard_size) AS BIGINT) AS source_size FROM shards GROUP BY source),
+                      md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS h FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM s0),
 s2 AS (SELECT *, CAST([{', '.join(map(str, WEIGHTS))}][r % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight,
               CAST({REPEATS} * source_size AS DOUBLE) AS cap FROM s1),
@@ -271,22 +257,28 @@ lev AS (SELECT lev AS l FROM s3 WHERE lev <= cap / weight ORDER BY cap / weight,
 s4 AS (SELECT source, source_size, least(cap, weight * l) AS target, least(cap, weight * l) AS v,
               CAST(floor(sum(source_size) OVER () / {float(BLOCK)}) AS BIGINT) AS seats FROM s3, lev),
 {seats('top', 's4', '', 'source')},
-q0 AS (SELECT x.*, y.source_size, y.target, y.got AS seats, CAST(x.shard_size AS DOUBLE) AS v
-       FROM shards x JOIN top y ON x.source IS NOT DISTINCT FROM y.source),
-{seats('low', 'q0', 'source', 'shard')},
-q1 AS (SELECT source, shard, shard_size, source_size, target, got,
-              greatest(1, CAST(floor(shard_size / {float(BLOCK)} + 0.5) AS BIGINT)) AS n,
-              CAST('0x' || md5('{SEED}/' || coalesce(source, '') || '/' || shard)[17:24] AS BIGINT) AS shift FROM low),
-q AS (SELECT *, least(got, {REPEATS} * n) AS quota, CASE WHEN n % 1000003 <> 0 THEN 1000003 ELSE 1000033 END AS step FROM q1),
-p AS (SELECT d.doc_id, d.size, q.* EXCLUDE (source, shard),
-             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY h[9:24], d.doc_id, d.size
+d AS (SELECT sized.*, CAST('0x' || h[1:8] AS BIGINT) % greatest(1, CAST(floor(sqrt(y.source_size / {float(SHARD_WORDS)})) AS BIGINT)) AS cell
+      FROM sized JOIN top y ON sized.source IS NOT DISTINCT FROM y.source),
+cells AS (SELECT source, cell, CAST(sum(size) AS BIGINT) AS cell_size FROM d GROUP BY source, cell),
+q0 AS (SELECT x.*, y.source_size, y.target, y.got AS seats, CAST(x.cell_size AS DOUBLE) AS v
+       FROM cells x JOIN top y ON x.source IS NOT DISTINCT FROM y.source),
+{seats('low', 'q0', 'source', 'cell')},
+q1 AS (SELECT source, cell, cell_size, source_size, target, got * {BLOCK} AS w,
+              greatest(1, CAST(floor(cell_size / {float(BLOCK)} + 0.5) AS BIGINT)) AS n,
+              CAST('0x' || md5('{SEED}/' || coalesce(source, '') || '/' || cell)[17:24] AS BIGINT) AS shift FROM low),
+q2 AS (SELECT *, CASE WHEN cell_size > 0 THEN least({REPEATS}, w // cell_size) ELSE 0 END AS whole,
+              CASE WHEN n % 1000003 <> 0 THEN 1000003 ELSE 1000033 END AS step FROM q1),
+q AS (SELECT *, CASE WHEN cell_size > 0 AND whole < {REPEATS}
+                     THEN least(n, CAST(floor((w - whole * cell_size) / {float(BLOCK)} + 0.5) AS BIGINT)) ELSE 0 END AS more FROM q2),
+p AS (SELECT d.doc_id, d.size, q.* EXCLUDE (source, cell),
+             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source, d.cell ORDER BY h[9:24], d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.cell = q.cell),
 won AS (SELECT *, list_filter(range(least(n - 1, a // {BLOCK}), least(n - 1, (a + size - 1) // {BLOCK}) + 1),
-                              lambda b: (b % n * (step % n) + shift) % n < quota % n) AS bs FROM p),
+                              lambda b: (b % n * (step % n) + shift) % n < more) AS bs FROM p),
 got AS (SELECT *, CASE WHEN size > 0 THEN coalesce(list_sum(list_transform(bs, lambda b: least(CASE WHEN b = n - 1 THEN a + size ELSE (b + 1) * {BLOCK} END, a + size)
                                                           - greatest(b * {BLOCK}, a))), 0) ELSE 0 END AS extra FROM won)
-SELECT doc_id, size, source_size, target, CAST((quota // n) * size + extra AS BIGINT) AS taken FROM got"""
+SELECT doc_id, size, source_size, target, CAST(whole * size + extra AS BIGINT) AS taken FROM got"""
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

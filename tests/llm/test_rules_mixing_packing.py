@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from brute import best_fit, words
 from pyspark.sql import functions as F
@@ -146,3 +147,29 @@ def test_mix_meets_targets_of_small_sources(spark, size):
     assert len(out) == len(rows)
     for source, goal in target.items():
         assert abs(taken[source] - goal) <= 0.03 * goal + mixing.BLOCK
+
+
+def _thin_and_thick(seed):
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    rows = [(i, "thin", text(7)) for i in range(300)] + [(300 + i, "thick", text(400)) for i in range(300)]
+    rows += [(1000 + i, f"s{i % 9}", text(rng.randrange(60))) for i in range(90)]
+    return rows + [(2000, None, text(50)), (2001, "none", ""), (2002, "none", None), (2003, "one", "word"), (2004, "long", text(40_000))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_of_thin_and_mixed_sources_equals_the_sql(spark, seed):
+    rows = _thin_and_thick(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted((r.doc_id, r.size, r.source_size, round(r.target, 3), r.taken) for r in mixing.mix(docs).collect())
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.oracle()})").fetchall()
+    assert got == sorted((i, n, s, round(t, 3), k) for i, n, s, t, k in want)
+
+
+def test_rows_without_an_id_are_spread_by_their_text(spark):
+    docs = spark.createDataFrame([(None, "a", f"w{i} " * 40) for i in range(3000)], "doc_id long, source string, text string")
+    names = docs.select((mixing._number(mixing._name("doc_id", "text"), 1) % 10).alias("cell")).groupBy("cell").count().collect()
+    assert len(names) == 10 and max(r["count"] for r in names) < 450
+    assert sum(r.taken for r in mixing.mix(docs).collect()) == 120_000
