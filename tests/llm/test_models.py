@@ -284,3 +284,30 @@ def test_training_covers_every_text(spark):
         np.add.at(counts, np.r_[ids, lm_scoring.END], 1)
     share = (counts + 0.1) / np.bincount(model.cls, weights=counts + 0.1)[model.cls]
     assert np.allclose(np.exp(model.inside), share, rtol=1e-4)
+
+
+@pytest.mark.parametrize("before", [[], [3, 120, 11]])
+def test_words_that_may_come_next_sum_to_one(monkeypatch, before):
+    """All words of one or two subwords, the end, and the mass of longer words."""
+    rng = np.random.default_rng(6)
+    model = Attention.start(np.arange(200) % 128, rng.integers(1, 50, 200).astype(float), rng.integers(0, 9, (128, 128)))
+    monkeypatch.setattr(lm_scoring, "START", 7)
+    end, begins = 79, np.arange(200) < 80  # 80 and above go on with a word
+    found = [[b] for b in range(end)] + [[b, c] for b in range(end) for c in range(80, 200)]
+    texts = [before + w + [end] for w in found] + [before + [end]]
+    counts = np.array([len(t) for t in texts])
+    spelled, opens = lm_scoring.spelled_log_probs(
+        model, model.tables(), np.concatenate(texts), counts, group=model.shares(begins)
+    )
+    at = np.cumsum(counts) - counts + len(before)
+    first = np.sort(np.r_[at, at[:-1] + [len(w) for w in found]])
+    if before:
+        first = np.sort(np.r_[first, at - 3, at - 1])  # the words before: 3 120, 11
+    flat = np.concatenate(texts)
+    word = lm_scoring.word_log_probs(spelled, opens, first, flat[first] == end)
+    own = word[np.isin(first, at)]
+    total = (10.0**own).sum()
+    # Words of more subwords: two begin like these, and the next subword goes on.
+    long = at[:-1][[len(w) == 2 for w in found]]
+    rest = (10.0 ** (spelled[long] - opens[long] + spelled[long + 1]) * (1 - 10.0 ** opens[long + 2])).sum()
+    assert total < 1 and abs(total + rest - 1) < 1e-3
