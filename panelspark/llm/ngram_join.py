@@ -1,12 +1,17 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Two documents with n and m distinct shingles reach ``percent`` of their union only
-if they share at least T = ceil(percent * max(n, m) / 100) of them. DivideSkip sorts
-a document's inverted lists by length and sets the T - 1 longest aside: whatever
-reaches T occurrences must occur at least once in the n - T + 1 short ones. The
-short lists are merged first (in Spark: a join on the shingle, merged per pair);
-each document found there is then probed by binary search in the long lists, with
-an end as soon as T is out of reach.
+if they share T = ceil(percent * (n + m) / (100 + percent)) of them. DivideSkip sorts
+a document's inverted lists by length and sets L long ones aside: whatever reaches T
+occurrences must occur T - L times or more in the short ones. L is as large as that
+allows for any partner, ceil(percent * n / 100) - 1: merging a list moves its
+postings through the cluster, while probing one costs a binary search. Short lists
+are merged first (in Spark: a join on the shingle), which finds the pairs. A
+document's lists travel as one packed row, in order of length; for each pair the
+short ones are counted, pairs below T - L go, and the long ones are probed, shortest
+first, until T is reached or out of reach. Whether a list holds a document is looked
+up from the document's side, by binary search for the shingle in its sorted lists:
+the same entry of the same inverted index, without the list in one place.
 
 List lengths are exact: groups of documents ask for the number of documents of each
 of their shingles, packed by range of hashes, and the ranges answer. The rarest
@@ -102,27 +107,27 @@ def _tell(asked: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), _TELL)], schema=_TELL)
 
 
-# --- sets, their classes and short lists -----------------------------------------------
+# --- sets, their classes and lists -----------------------------------------------------
 
 
 def _needed(n, percent: int):
-    """Least overlap of a set of n with any set as large or larger that it is linked with."""
+    """Least overlap of a set of n with any set that it is linked with."""
     return -(-percent * n // 100)
 
 
 _SETS = pa.schema(
     [("id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64())]
-    + [(c, pa.list_(pa.int64())) for c in ("short", "place")]
+    + [(c, pa.list_(pa.int64())) for c in ("short", "place")] + [("lists", pa.binary())]
 )
-_SETS_SQL = "id long, n long, sig1 long, sig2 long, short array<bigint>, place array<bigint>"
+_SETS_SQL = "id long, n long, sig1 long, sig2 long, short array<bigint>, place array<bigint>, lists binary"
 
 
 def _sets(size: int, percent: int):
-    """A row per document: size and signature of its set, its short lists, and their
-    places among all its lists, shortest first.
+    """A row per document: size and signature of its set, its short lists, their places
+    among all its lists, shortest first, and the shingles of all its lists in that order.
 
-    Of the n - T + 1 shortest lists those of one document are left out: nobody else
-    is found there.
+    Lists of one document are left out: nobody else is found there. Documents without a
+    short list meet nobody and need no lists at all.
     """
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -146,53 +151,57 @@ def _sets(size: int, percent: int):
             place = np.arange(len(code)) - first[owner]
             rank = np.empty(len(code), np.int64)
             rank[order] = place
-            take = order[(place < (n - _needed(n, percent) + 1)[owner]) & (own[order] > 1)]
-            offsets = np.r_[0, np.cumsum(np.bincount(owner[take], minlength=words.texts))].astype(np.int32)
+            shared = own[order] > 1
+            take = order[(place < (n - _needed(n, percent) + 1)[owner]) & shared]
+            short = np.bincount(owner[take], minlength=words.texts)
+            offsets = np.r_[0, np.cumsum(short)].astype(np.int32)
+            every = order[shared & (short > 0)[owner]]
+            edges = np.r_[0, 8 * np.cumsum(np.bincount(owner[every], minlength=words.texts))].astype(np.int32)
+            buffers = [None, pa.py_buffer(edges), pa.py_buffer(code[every].tobytes())]
+            lists = pa.Array.from_buffers(pa.binary(), words.texts, buffers)
             cells = [(offsets, code[take].view(np.int64)), (offsets, rank[take])]
             made.append(
-                [pa.array(n), pa.array(sig[0]), pa.array(sig[1]), *[pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in cells]]
+                [pa.array(n), pa.array(sig[0]), pa.array(sig[1]), *[pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in cells], lists]
             )
         return pa.table([docs.column("id"), *[pa.chunked_array(c) for c in zip(*made)]], schema=_SETS)
 
     return run
 
 
-# --- verification ----------------------------------------------------------------------
+# --- long lists ------------------------------------------------------------------------
 
 
-def _probe(query: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are linked, by binary search block by block."""
-    needed = -(-percent * (len(query) + len(other)) // (100 + percent))
-    got, start, step = 0, 0, 32
-    while start < len(query):
-        part = query[start : start + step]
-        at = np.searchsorted(other, part)
-        got += int((other[np.minimum(at, len(other) - 1)] == part).sum())
-        start += len(part)
-        step *= 2
-        if got + len(query) - start < needed:
-            return False
-    return 100 * got >= percent * (len(query) + len(other) - got)
+def _occurs(lists: np.ndarray, other: np.ndarray) -> int:
+    """In how many of ``lists`` the document with the sorted shingles ``other`` stands."""
+    at = np.searchsorted(other, lists)
+    return int((other[np.minimum(at, len(other) - 1)] == lists).sum())
 
 
-def _verify(size: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _reaches(lists: np.ndarray, short: int, other: np.ndarray, needed: int) -> bool:
+    """Whether ``other`` occurs ``needed`` times in ``lists``, the first ``short`` of them short."""
+    got, at, step = _occurs(lists[:short], other), short, 32
+    # The first turn asks for T - L occurrences in the short lists.
+    while got < needed <= got + len(lists) - at:
+        got += _occurs(lists[at : at + step], other)
+        at, step = min(at + step, len(lists)), 2 * step
+    return got >= needed
+
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for words in chunks(column):
-            owner, code = shingle_sets(words, size)
-            out += np.split(code, np.cumsum(np.bincount(owner, minlength=words.texts))[:-1])
-        return out
+def _probe(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                pairs = zip(sets(batch.column(2)), sets(batch.column(3)))
-                keep = pa.array([bool(len(x) and len(y) and _probe(x, y, percent)) for x, y in pairs])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema
-                )
+            cells = batch.column
+            n = [cells(c).to_numpy(zero_copy_only=False) for c in (2, 3)]
+            needed = -(-percent * (n[0] + n[1]) // (100 + percent))
+            short, keep = cells(4).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            for row, (one, two) in enumerate(zip(cells(5), cells(6))):
+                lists = np.frombuffer(one.as_buffer(), np.uint64)
+                other = np.sort(np.frombuffer(two.as_buffer(), np.uint64))
+                keep[row] = _reaches(lists, int(short[row]), other, int(needed[row]))
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([cells(0).filter(keep), cells(1).filter(keep)], schema=schema)
 
     return run
 
@@ -244,7 +253,8 @@ def similar_classes(
     )
     lists = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     members = scratch.write(postings.join(lists.select("token"), "token").withColumn("comp", F.col("id")), "members-0")
-    texts = scratch.write(base.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    packed = made.where(F.size("short") > 0).select("id", "n", F.size("short").alias("short"), "lists")
+    packed = scratch.write(packed.join(members.select("id").distinct(), "id", "left_semi"), "packed")
     links = tested = None
     turn = 0
     while not members.isEmpty():
@@ -268,19 +278,17 @@ def similar_classes(
             # A pair is found at the first list it shares; there its overlap has room.
             .where((100 + percent) * F.least("m", "lead_m") >= percent * (F.col("n") + F.col("lead_n")))
             .select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-            .groupBy("a", "b")
-            .agg(F.count(F.lit(1)).alias("occurrences"))
-            .select("a", "b")
+            .distinct()
         )
         if tested is not None:
             near = near.join(tested, ["a", "b"], "left_anti")
         near = scratch.write(near, f"pairs-{turn}")
         tested = near if tested is None else tested.union(near)
         found = (
-            near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verify(size, percent), "a long, b long")
+            near.join(packed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "short", F.col("lists").alias("lists_a")), "a")
+            .join(packed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("lists").alias("lists_b")), "b")
+            .select("a", "b", "n_a", "n_b", "short", "lists_a", "lists_b")
+            .mapInArrow(_probe(percent), "a long, b long")
         )
         found = scratch.write(found, f"links-{turn}")
         links = found if links is None else links.union(found)

@@ -71,3 +71,35 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 3)], "a long, b long")
     got = {r.id: r.comp for r in connect(links, Scratch(spark, "test")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_long_lists_are_probed_until_the_overlap_is_settled(percent):
+    rng = np.random.default_rng(percent)
+    seen = set()
+    for _ in range(300):
+        lists = rng.permutation(400)[: rng.integers(1, 300)].astype(np.uint64)
+        keep = rng.random(len(lists)) < rng.choice([0.2, 0.7, 0.9, 1.0])
+        other = np.union1d(lists[keep], rng.integers(400, 460, rng.integers(1, 40)).astype(np.uint64))
+        for needed in (1, keep.sum(), keep.sum() + 1, max(1, percent * len(lists) // 100)):
+            short = int(rng.integers(0, len(lists) + 1))
+            got = ngram_join._reaches(lists, short, other, int(needed))
+            assert got == (keep.sum() >= needed)
+            seen.add(got)
+    assert seen == {True, False}
+
+
+def test_short_lists_leave_out_no_link(spark):
+    """Sets of unequal size, links at the limit, rows of one id and very frequent shingles."""
+    rng = np.random.default_rng(8)
+    base = [f"w{n}" for n in rng.integers(0, 30, 200)]
+    rows = []
+    for i in range(90):
+        w = base[: rng.integers(20, 200)].copy()
+        for k in rng.integers(0, len(w), rng.integers(0, 8)):
+            w[k] = f"z{rng.integers(12)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((1, 80), (3, 70), (4, 85)):
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_classes(docs, size=size, percent=percent).collect()}
+        assert got == components(rows, size, percent)
