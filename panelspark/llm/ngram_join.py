@@ -38,7 +38,7 @@ from panelspark.llm.scratch import Scratch, parts_for, text_bytes
 from panelspark.llm.words import LOWER, Words, chunks, mix, windows
 
 # Text of a group of documents, and of a range of hashes.
-GROUP_BYTES, PART_BYTES = 8 << 20, 8 << 20
+GROUP_BYTES, PART_BYTES = 4 << 20, 8 << 20
 # Leaders that search a list in one round: few in the first rounds, which join what
 # is linked, more in the later ones, which have only the rest of the lists to search.
 MAIN_ROUNDS, MAIN_LEADERS, LEADERS = 2, 2, 256
