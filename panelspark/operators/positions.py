@@ -48,7 +48,8 @@ def number_rows(df: DataFrame, name: str = "row") -> DataFrame:
     before = Window.orderBy(F.length(FILE), FILE).rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
     files = files.select(FILE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return df.join(files, FILE).withColumn(name, F.col("_before") + F.col(PLACE)).drop(FILE, PLACE, "_before")
+    # Sent to all tasks: dealt by file, all rows of a file would meet in one of them.
+    return df.join(F.broadcast(files), FILE).withColumn(name, F.col("_before") + F.col(PLACE)).drop(FILE, PLACE, "_before")
 
 
 def bind_columns(left: DataFrame, right: DataFrame, row: str | None = None) -> DataFrame:
@@ -64,5 +65,6 @@ def bind_columns(left: DataFrame, right: DataFrame, row: str | None = None) -> D
     sizes = [df.agg(F.count("*")).first()[0] for df in (left, right)]
     if sizes[0] != sizes[1]:
         raise ValueError(f"cannot bind {sizes[0]} rows to {sizes[1]}")
-    both = number_rows(left, "_row").join(number_rows(right, "_row"), "_row")
+    # Dealt by row number whatever the files' size says: it is that of compressed rows.
+    both = number_rows(left, "_row").join(number_rows(right, "_row").hint("merge"), "_row")
     return both.select(*names, *([F.col("_row").alias(row)] if row else []))

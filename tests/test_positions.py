@@ -24,6 +24,19 @@ def test_numbers_follow_files_and_places(spark, stored):
     assert len({r.row for r in got}) == 1000 and all(r.row == r.id for r in got)
 
 
+def test_rows_of_a_file_are_not_gathered(spark, stored):
+    """One large file must not become one task's work."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = positions.number_rows(positions.in_file_order(spark, f"{stored}/a"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Only the counts per file are dealt by file.
+    assert plan.count("hashpartitioning(_file") == 1 and "SortMergeJoin" not in plan
+
+
 def test_tables_of_unequal_partitions_are_bound_by_place(spark, stored):
     a, b = (positions.in_file_order(spark, f"{stored}/{n}") for n in "ab")
     got = rows(positions.bind_columns(a, b, row="at"), "id", "ten", "gap", "at")
